@@ -7,12 +7,14 @@ signature, so two permutations stand in for one a coordinate.
 
 Nothing is decided by a signature alone: pairs that meet in a band are
 confirmed on the full sets.  Documents with equal sets are one class from the
-start.  In a bucket not all pairs are formed: in each round some members are
-pivots and are held against those members of their bucket that aren't yet
-known to be in the same component; a pivot that was held against all is done,
-and a bucket is done when what is left of it is in one component.  So every
-candidate pair is either confirmed, refuted, or already connected, and a large
-group of near copies costs a comparison a member.
+start.  Not all pairs of a bucket are formed: first each bucket's smallest
+document is held against the others, which connects most of a group of near
+copies at one comparison a member.  Buckets that are in one component then are
+done.  In the others, members that aren't in the bucket's largest component
+are held against all members, inside a task, as a product of two 0/1 matrices
+over the shingles; large buckets are split into pairs of blocks.  A task
+returns a spanning set of edges, at most one a member.  So every pair that
+meets is confirmed, refuted, or already connected.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .state import cut
 
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
+#: Members of one block of a bucket, about.
+BLOCK = 2048
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -106,6 +110,72 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+def _linked(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> np.ndarray:
+    """Which members the members ``rows`` link with, from products over the shingles that at least two members have."""
+    size = np.array([len(x) for x in sets])
+    every, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, df = np.unique(every, return_inverse=True, return_counts=True)
+    shared = df[column] > 1
+    names, column = np.unique(column[shared], return_inverse=True)
+    member, order = member[shared], np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    both = np.zeros((len(rows), len(sets)), np.float64)
+    step = max(1, (1 << 22) // len(sets))
+    for lo in range(0, len(names), step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((len(sets), min(step, len(names) - lo)), np.float32)
+        part[member[a:b], column[a:b] - lo] = 1
+        both += part[rows] @ part.T
+    return 100 * both >= percent * (size[rows][:, None] + size[None, :] - both)
+
+
+def _settle(shingle: int, percent: int):
+    """Decides what is open in each (bucket, block, block); rows: key, lo, hi, block, id, label, text."""
+
+    def task(held: list[dict]) -> list[tuple[int, int]]:
+        sets = [s for part in W.words(pa.array([r["text"] for r in held], pa.string()), lower=True) for s in shingle_sets(part, shingle)]
+        ids, labels, block = (np.array([r[c] for r in held]) for c in ("id", "label", "block"))
+        names, label, n = np.unique(labels, return_inverse=True, return_counts=True)
+        rows = np.flatnonzero(label != np.argmax(n))
+        if not len(rows):
+            return []
+        open_ = _linked(sets, rows, percent) & (label[rows][:, None] != label[None, :])
+        if held[0]["lo"] != held[0]["hi"]:
+            open_ &= block[rows][:, None] != block[None, :]
+        # the smallest member of each component, over links and known labels
+        root, out = np.array([np.flatnonzero(label == i)[0] for i in range(len(names))]), []
+        parent = np.arange(len(names))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, j in zip(*np.nonzero(open_), strict=True):
+            a, b = top(label[rows[i]]), top(label[j])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[root[a]]), int(ids[root[b]])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        last, out = None, []
+        for b in batches:
+            for at in range(0, len(b), 500):
+                for r in b.slice(at, 500).to_pylist():
+                    name = r["key"], r["lo"], r["hi"]
+                    if name != last:
+                        out += task(held) if len(held) > 1 else []
+                        held, last = [], name
+                    held.append(r)
+        out += task(held) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -129,23 +199,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     active = cut(members.join(shared, "key").select("key", "id", "n", F.col("id").alias("label")))
     found = cut(texts.join(active.select("id").distinct(), "id", "left_semi"))
-    edges, labels, pivots_a_bucket = None, None, 1
-    while not active.isEmpty():
-        salt = F.pmod(F.xxhash64("id"), F.lit(pivots_a_bucket))
-        pivots = active.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "n", "label")).alias("p")).select("key", "p")
-        pairs = active.join(pivots, "key").where(F.col("label") != F.col("p.label")).where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)
-        pairs = pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-        both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        new = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"))
-        edges = new if edges is None else cut(edges.unionByName(new))
-        labels = cut(components(edges, "a", "b"))
-        rest = active.join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "label").alias("label"))
-        open_keys = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        active = cut(rest.join(open_keys, "key"))
-        pivots_a_bucket *= 16
-    if labels is not None:
-        classes = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", F.coalesce("root", "rep").alias("rep"))
+    pivots = active.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
+    pairs = active.join(pivots, "key").where(F.col("id") != F.col("p.id")).where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent)
+    pairs = pairs.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    edges = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"))
+    labels = components(edges, "a", "b")
+    rest = active.join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti")
+    rest = cut(rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label")))
+    buckets = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first")).where("lo < hi")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    buckets = buckets.groupBy("m", "x", "first").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))  # buckets of the same members are one
+    placed = rest.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = placed.where("blocks = 1").select("key", "id", "label", "block", F.lit(0).alias("other")).unionByName(placed.where("blocks > 1").select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
+    tasks = placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "label").join(found, "id").select("key", "lo", "hi", "block", "id", "label", "text")
+    new = tasks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_settle(shingle, percent), "a long, b long")
+    new = cut(new)
+    if not new.isEmpty():
+        # each edge joins two known components by members of theirs
+        labels = components(edges.unionByName(new), "a", "b")
+    classes = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", F.coalesce("root", "rep").alias("rep"))
     joined = sig.alias("d").join(cut(classes).alias("c"), [F.col(f"d.{c}") == F.col(f"c.{c}") for c in ("s1", "s2")] + [F.col("d.n") > 0, F.col("d.id").isNotNull()], "left")
     component = F.coalesce(F.col("c.rep"), F.col("d.id"))
     return joined.select(F.col("d.id").alias(id_col), F.col("d.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d.id") == component, F.lit(True)).alias("kept"))
