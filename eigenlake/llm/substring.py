@@ -35,7 +35,7 @@ from .state import cut
 #: Words of the short prefix.
 PREFIX = 8
 #: Documents that share a prefix up to which its suffixes are one group; beyond it the prefix is the whole window.
-GROUP = 1000
+GROUP = 8192
 #: Bytes of text of the groups that are handled at once.
 AT_ONCE = 1 << 22
 
