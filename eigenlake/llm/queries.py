@@ -76,10 +76,10 @@ ORACLES = {
         r AS (SELECT g.doc_id, unnest(range(g.i, g.i + 50)) AS k FROM g JOIN m USING (h) WHERE g.doc_id > m.lo),
         d AS (SELECT doc_id, list(DISTINCT k) AS ks FROM r GROUP BY doc_id)
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
-               sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+               sha256(array_to_string(CASE WHEN ks IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
         FROM w LEFT JOIN d USING (doc_id)""",
     "op3_embedding_near_dedup": """
-        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)),
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
         u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
         l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
         r AS (SELECT vec_id AS x, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON r.x = l.x),
@@ -89,7 +89,7 @@ ORACLES = {
         FROM embeddings JOIN c ON vec_id = c.x LEFT JOIN k ON vec_id = k.x""",
     "op10_minhash_near_dedup": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')) END) AS g FROM w WHERE len(ws) > 0)),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS g FROM w WHERE len(ws) > 0)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         l AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
