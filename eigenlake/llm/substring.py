@@ -180,21 +180,26 @@ def _grow(window: int):
     return run
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids and texts under names of their own, by the same expressions each time, so that joins by id can share one exchange of the texts."""
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """(id, version, first, last): word spans, last exclusive, of windows that start in a document with a smaller id too.
 
     ``version`` tells texts apart that share an id.  Spans of one text may
     touch or overlap.  See ``remove_repeats`` for words, nulls and ties.
     """
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
+    texts = _texts(docs, id_col, text_col).where("id is not null")
     prefixes = texts.mapInArrow(_find_prefixes(window), "m long, id long")
     shared = cut(prefixes.groupBy("m").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("m", (F.col("n") > GROUP).alias("hot")))
     lists = prefixes.join(shared, "m").groupBy("id").agg(F.collect_set(F.when(~F.col("hot"), F.col("m"))).alias("short"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("whole"))
     at = texts.join(cut(lists), "id")
-    short = at.where(F.size("short") > 0).select("id", "text", "short").mapInArrow(_send_runs(window), "m long, id long, version long, at long, words binary")
+    short = at.where(F.size("short") > 0).select("id", "body", "short").mapInArrow(_send_runs(window), "m long, id long, version long, at long, words binary")
     spans = "id long, version long, first long, last long"
     trees = short.repartition("m").sortWithinPartitions("m").mapInArrow(_grow(window), spans)
-    windows = at.where(F.size("whole") > 0).select("id", "text", "whole").mapInArrow(_send_windows(window), "h1 long, h2 long, id long, version long, at long")
+    windows = at.where(F.size("whole") > 0).select("id", "body", "whole").mapInArrow(_send_windows(window), "h1 long, h2 long, id long, version long, at long")
     least = cut(windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"))
     nodes = windows.join(least, ["h1", "h2"]).where("id > least").select("id", "version", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
     return trees.unionByName(nodes)
@@ -256,9 +261,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share an id don't count as one another's predecessors and come back as
     often as they came.  Other columns aren't read.
     """
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    texts = _texts(docs, id_col, text_col)
     known, nameless = texts.where("id is not null"), texts.where("id is null")
     spans = repeated_spans(docs, id_col, text_col, window).groupBy("id").agg(F.collect_list(F.struct("version", "first", "last")).alias("spans"))
-    joined = known.join(spans, "id", "left").select("id", "text", "spans")
+    joined = known.join(spans, "id", "left").select("id", "body", "spans")
     every = joined.unionByName(nameless.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     return every.mapInArrow(_remove, "id long, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_col)
