@@ -142,15 +142,18 @@ def _judge(at: np.ndarray, small: Model):
 
 
 def _rejected(model: Model, severity: np.ndarray) -> np.ndarray:
-    return (severity >= model.cut) & (len(model.thresholds) > 0)
+    if not len(model.thresholds):
+        return np.zeros(len(severity), bool)
+    return (severity >= model.cut) & (severity > model.expected(np.zeros(1))[0])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, severity, rejected) for every row: the expected grade, and whether it reaches the model's cut.
 
     One pass over whole texts without a shuffle.  A null or wordless text has
-    no features and gets the severity of such a text; repeated rows stay;
-    other columns aren't read.  The model goes to the tasks with its weights
+    no features and gets the severity of such a text; a text isn't rejected
+    unless its words raise its severity above that; repeated rows stay; other
+    columns aren't read.  The model goes to the tasks with its weights
     that aren't zero, of which there are at most ``BUCKETS``.
     """
     at = np.flatnonzero(model.weights)
