@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import cut
+
 #: Lengths that share a block in the two-level suffix sums.
 BLOCK = 1024
 
@@ -22,8 +24,10 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     when every document is cut to the length, and quantile the share of
     documents up to it.  The sums within blocks of lengths are windows of
     their own and only the blocks' totals meet, so no task sees all lengths.
-    An empty histogram gives no rows.
+    An empty histogram gives no rows.  The histogram is written to the shared
+    folder first, as both sums need it.
     """
+    histogram = cut(histogram)
     rows = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after, every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
