@@ -95,7 +95,7 @@ def icc(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def delong(scores: DataFrame) -> DataFrame:
-    """(auc_a, auc_b, var_a, var_b, cov_ab, z) of two scores s_a and s_b against labels y in 0/1, from placement values."""
+    """(auc_a, auc_b, var_a, var_b, cov_ab, z) of two scores s_a and s_b against labels y in 0/1, from placement values; z is 0 for equal AUCs, null where they differ without variance."""
     r = scores
     for s in ("s_a", "s_b"):
         r = r.withColumn(f"{s}_all", midrank(F.col(s))).withColumn(f"{s}_own", midrank(F.col(s), "y"))
@@ -107,7 +107,7 @@ def delong(scores: DataFrame) -> DataFrame:
     total = lambda f, *c: f(*(of(1, x) for x in c)) / F.first("m") + f(*(of(0, x) for x in c)) / F.first("n")
     out = r.agg(F.avg(of(1, "v_a")).alias("auc_a"), F.avg(of(1, "v_b")).alias("auc_b"), total(F.var_samp, "v_a").alias("var_a"), total(F.var_samp, "v_b").alias("var_b"), total(F.covar_samp, "v_a", "v_b").alias("cov_ab"))
     spread = F.col("var_a") + F.col("var_b") - 2 * F.col("cov_ab")
-    return out.withColumn("z", F.when(spread > TINY, (F.col("auc_a") - F.col("auc_b")) / F.sqrt(spread)))
+    return out.withColumn("z", F.when(F.col("auc_a") == F.col("auc_b"), 0.0).when(spread > TINY, (F.col("auc_a") - F.col("auc_b")) / F.sqrt(spread)))
 
 
 def combat(rows: DataFrame) -> DataFrame:
