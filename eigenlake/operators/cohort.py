@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 TINY = 1e-30
 
 
@@ -94,11 +96,19 @@ def icc(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(clip((rows - error) / (rows + error + 2 * (cols - error) / n)).alias("icc_2_1"), clip((rows - error) / (rows + error)).alias("icc_3_1"))
 
 
+def delong_ranks(scores: DataFrame, s: str) -> DataFrame:
+    """Scores with midranks of s among all rows and among those of the same label; no task sees all scores."""
+    v = scores.where(F.col(s).isNotNull()).groupBy(F.col(s).alias("v")).agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    rank = lambda c: F.col(f"{c}_upto") - (F.col(c) - 1) / 2
+    table = running(v, "v", "p", "q").select("v", (rank("p") + rank("q") - 0.5).alias(f"{s}_all"), rank("p").alias("rp"), rank("q").alias("rq"))
+    return scores.join(table, F.col(s) == F.col("v"), "left").withColumn(f"{s}_own", F.when(F.col("y") == 1, F.col("rp")).otherwise(F.col("rq"))).drop("v", "rp", "rq")
+
+
 def delong(scores: DataFrame) -> DataFrame:
     """(auc_a, auc_b, var_a, var_b, cov_ab, z) of two scores s_a and s_b against labels y in 0/1, from placement values; z is 0 for equal AUCs, null where they differ without variance."""
     r = scores
     for s in ("s_a", "s_b"):
-        r = r.withColumn(f"{s}_all", midrank(F.col(s))).withColumn(f"{s}_own", midrank(F.col(s), "y"))
+        r = delong_ranks(r, s)
     counts = scores.agg(F.count_if(F.col("y") == 1).cast("double").alias("m"), F.count_if(F.col("y") == 0).cast("double").alias("n"))
     r = r.crossJoin(F.broadcast(counts))
     place = lambda s: F.when(F.col("y") == 1, (F.col(f"{s}_all") - F.col(f"{s}_own")) / F.col("n")).otherwise(1 - (F.col(f"{s}_all") - F.col(f"{s}_own")) / F.col("m"))

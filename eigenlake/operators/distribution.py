@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def divergences(rows: DataFrame, a, b, bins: int = 50) -> DataFrame:
     """(kl, js): divergence of histograms over the shared range, each share raised by 1e-10; js is the mean of both directions."""
@@ -21,11 +23,9 @@ def divergences(rows: DataFrame, a, b, bins: int = 50) -> DataFrame:
 
 
 def _steps(rows: DataFrame, a, b) -> DataFrame:
-    """Each value with both distribution functions there and the gap to the next value."""
+    """Each value with both distribution functions there and the gap to the next value; no task sees all values."""
     s = rows.where(F.col("g").isin(a, b)).groupBy("x").agg(F.count_if(F.col("g") == a).alias("a"), F.count_if(F.col("g") == b).alias("b"))
-    up, every = Window.orderBy("x"), Window.partitionBy()
-    share = lambda c: F.sum(c).over(up) / F.sum(c).over(every)
-    return s.select("x", share("a").alias("fa"), share("b").alias("fb"), (F.lead("x").over(up) - F.col("x")).alias("gap"))
+    return running(s, "x", "a", "b").select("x", (F.col("a_upto") / F.col("a_all")).alias("fa"), (F.col("b_upto") / F.col("b_all")).alias("fb"), (F.col("next") - F.col("x")).alias("gap"))
 
 
 def wasserstein_1d(rows: DataFrame, a, b) -> DataFrame:
