@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from eigenlake.plans.queries import ORACLES, QUERIES
+from eigenlake.plans.shape_queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -33,3 +33,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(have) == cols
     want = sorted((tuple(plain(r[have.index(c)]) for c in cols) for r in q.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str) == want
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
+def test_query_without_sql_has_rows(spark, name):
+    assert QUERIES[name](spark, DIR).count() > 0
