@@ -5,28 +5,21 @@ weighted shingle similarity of 0.75 or more with it: shingles are five words,
 weighted by how often they occur, and the similarity is the sum of the
 smaller weights over the sum of the larger.
 
-The windows that come into question are found exactly first: a window that
-similar has three quarters of the item's shingles, so the places of the item's
-shingles in a document bound the starts.  Each such window gets a SimHash of
-64 bits.  The items' fingerprints are indexed by eight blocks of eight bits,
-each with all values that differ in ``RADIUS // 8`` bits at most; if two
-fingerprints differ in ``RADIUS`` bits at most, one of their blocks does in
-that many, so the equi-join on blocks finds all within the radius.  What is
-found is verified exactly.
+The windows that come into question are found exactly: a window that similar
+has three quarters of the item's shingles, so the places of the item's shingles
+in a document bound the starts.  Each such window is compared exactly with the
+item.  No fingerprint stands between: a SimHash of counted shingles leans to
+the words that repeat, and its radius would lose similar windows, while it
+can't find any that the places don't.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-#: Bits by which the fingerprints of similar windows may differ: at a similarity of 0.75 they differ in 11 on average, with a deviation of 3.
-RADIUS = 23
-BLOCKS = 8
-#: Rows up to which the items' shingles or index are broadcast; beyond it the join is shuffled.
+#: Rows up to which the items or their shingles are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 
 
@@ -51,34 +44,6 @@ def shingles_of(words: Column, size: Column | int) -> Column:
     return bound(words, own)
 
 
-def fingerprint(shingles: Column, wide: bool = False) -> Column:
-    """SimHash of the shingles: bit b says whether most of their hashes have it.
-
-    Counts of four bits at a time are kept in 16-bit lanes of a long, which
-    holds for up to 30,000 shingles; ``wide`` counts each bit by itself.
-    """
-
-    long = lambda x: F.lit(x).cast("long")
-    shift = lambda x, n: F.call_function("shiftrightunsigned", x, n)
-    width, lanes, mask = (64, 1, 1) if wide else (16, 4, 0x0001000100010001)
-    bits = F.sequence(F.lit(0), F.lit(lanes * width - 1))
-
-    def counts(own: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.aggregate(own, long(0), lambda n, x: n + shift(x, b).bitwiseAND(long(mask))))
-
-    def bit(own: Column, counted: Column, i: Column) -> Column:
-        count = F.get(counted, F.pmod(i, F.lit(width)))
-        count = count if wide else shift(count, F.floor(i / width).cast("int") * 16).bitwiseAND(long(0xFFFF))
-        return F.call_function("shiftleft", F.when(count * 2 > F.size(own), long(1)).otherwise(long(0)), i)
-
-    return bound(shingles, lambda own: bound(counts(own), lambda c: F.aggregate(bits, long(0), lambda a, i: a.bitwiseOR(bit(own, c, i)))))
-
-
-def block_of(print_: Column, block: int) -> Column:
-    """One of the eight blocks of a fingerprint."""
-    return F.shiftrightunsigned(print_, block * 8).bitwiseAND(F.lit(255).cast("long")).cast("int")
-
-
 def similarity_parts(a: Column, b: Column) -> tuple[Column, Column]:
     """Sums of the smaller and of the larger weights of two shingle arrays."""
     common = F.array_intersect(a, b)
@@ -92,11 +57,6 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _variants(radius: int) -> list[int]:
-    """All 8-bit masks of ``radius`` bits at most."""
-    return sorted({sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(8), n)})
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, item_id, n_windows, first_word, similarity) for each document and benchmark item it leaks.
 
@@ -110,8 +70,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(benchmark[item_col].alias("item"), words_of(benchmark[item_text_col]).alias("words")).where(F.size("words") > 0).distinct()
     size = F.least(F.size("words"), F.lit(SHINGLE))
     items = items.select("item", F.size("words").alias("m"), size.alias("k"), shingles_of(F.col("words"), size).alias("own"))
-    stats = items.agg(F.collect_set("k").alias("sizes"), F.sum(F.size("own")).alias("n"), F.count("*").alias("items"), F.max("m").alias("longest")).first()
-    wide = (stats["longest"] or 0) > 30_000
+    stats = items.agg(F.collect_set("k").alias("sizes"), F.sum(F.size("own")).alias("n")).first()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     places = _bounded(items.select("item", "m", "k", F.size("own").alias("total"), F.posexplode("own").alias("q", "shingle")), stats["n"] or 0)
     version = F.xxhash64("text").alias("version")
@@ -133,18 +92,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = texts.withColumn("version", version).join(asked.withColumnRenamed("id", "own").withColumnRenamed("version", "v"), F.col("id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("v")))
     windows = found.select("id", words_of(F.col("text")).alias("words"), F.explode("asked").alias("a")).select("id", "words", "a.item", "a.m", "a.k", F.explode("a.starts").alias("at"))
     cut = windows.select("id", "item", "at", "k", F.slice("words", F.col("at") + 1, F.col("m")).alias("w")).select("id", "item", "at", shingles_of(F.col("w"), F.least(F.col("k"), F.size("w"))).alias("shingles"))
-    printed = cut.withColumn("fp", fingerprint(F.col("shingles"), wide))
-    masks = F.array(*(F.lit(x) for x in _variants(RADIUS // BLOCKS)))
-    index = items.select(F.col("item").alias("i"), "own", fingerprint(F.col("own"), wide).alias("item_fp"))
-    blocks = lambda c: F.array(*(block_of(F.col(c), b) for b in range(BLOCKS)))
-    index = index.select("i", "own", "item_fp", F.posexplode(blocks("item_fp")).alias("item_block", "value")).select("i", "own", "item_fp", "item_block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("item_value"))
-    sought = printed.select("*", F.posexplode(blocks("fp")).alias("block", "value"))
-    near = sought.join(_bounded(index, (stats["items"] or 0) * BLOCKS * len(_variants(RADIUS // BLOCKS))), (F.col("item") == F.col("i")) & (F.col("block") == F.col("item_block")) & (F.col("value") == F.col("item_value")))
-    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first_block = F.array_min(F.filter(F.array(*(F.when(F.bit_count(block_of(differ, b)) <= RADIUS // BLOCKS, F.lit(b)) for b in range(BLOCKS))), lambda b: b.isNotNull()))
-    once = near.where((F.bit_count(differ) <= RADIUS) & (F.col("block") == first_block))
+    near = cut.join(_bounded(items.select(F.col("item").alias("i"), "own"), stats["n"] or 0), F.col("item") == F.col("i"))
     both, every = similarity_parts(F.col("shingles"), F.col("own"))
-    checked = once.select("id", "item", "at", both.alias("both"), every.alias("every")).where(F.col("both") * 100 >= F.col("every") * percent)
+    checked = near.select("id", "item", "at", both.alias("both"), every.alias("every")).where(F.col("both") * 100 >= F.col("every") * percent)
     best = F.max(F.struct((F.col("both") / F.col("every")).alias("similarity"), (-F.col("at")).alias("at")))
     out = checked.groupBy("id", "item").agg(F.count("*").alias("n_windows"), best.alias("best"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", (-F.col("best.at")).cast("long").alias("first_word"), F.col("best.similarity").alias("similarity"))

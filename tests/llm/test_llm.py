@@ -126,6 +126,22 @@ def test_leaks(spark):
     assert want == {(r.doc_id, r.item_id): r.n_windows for r in got.collect()}
 
 
+def test_leaks_with_a_repeated_word(spark):
+    items = [(n, " ".join(f"v{n}x{i}" for i in range(n + 4))) for n in (100, 300, 600, 1000)]
+    rows, want = [], {}
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for n, text in items:
+        cut = n // 8
+        words = ["before"] * 3 + text.split()[:-cut] + ["again"] * cut + ["after"] * 3
+        rows.append((n, " ".join(words)))
+        own = grams(text.split())
+        similar = [sum((g & own).values()) / sum((g | own).values()) for at in range(len(words) - n - 3) for g in [grams(words[at : at + n + 4])]]
+        want[n, n] = sum(x >= 0.75 for x in similar), similar.index(max(similar)), max(similar)
+    assert all(x[0] for x in want.values())
+    got = decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert want == {(r.doc_id, r.item_id): (r.n_windows, r.first_word, r.similarity) for r in got.collect()}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((20, 16))
