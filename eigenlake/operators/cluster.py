@@ -6,9 +6,11 @@ graph or all distances of a shape runs in one task a shape.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -35,18 +37,89 @@ def kmeans(descriptors: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=50).fit(x).transform(x).select("shape_id", "vid", F.col("prediction").alias("label"))
 
 
+def _posterior(x: np.ndarray, w: np.ndarray, m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the components in each row, and its log-likelihood; c holds variances or whole covariances."""
+    log = np.empty((len(x), len(w)))
+    for i in range(len(w)):
+        if c.ndim == 2:
+            z, size = (x - m[i]) / np.sqrt(c[i]), np.log(c[i]).sum()
+        else:
+            low = np.linalg.cholesky(c[i])
+            z, size = (x - m[i]) @ np.linalg.inv(low).T, 2 * np.log(np.diag(low)).sum()
+        log[:, i] = np.log(w[i]) - 0.5 * ((z * z).sum(axis=1) + size + x.shape[1] * np.log(2 * np.pi))
+    top = log.max(axis=1, keepdims=True)
+    q = np.exp(log - top)
+    return q / q.sum(axis=1, keepdims=True), top[:, 0] + np.log(q.sum(axis=1))
+
+
+def _em(descriptors: DataFrame, k: int, seed: int, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances, or whole covariances, of a Gaussian mixture over all rows.
+
+    EM from the groups of k-means, until the mean log-likelihood changes by
+    less than 1e-3, 200 rounds at most; 1e-6 is added to the variances.  Sums
+    of a round are one row a number, whatever the rows.
+    """
+    rows = descriptors.select("f").persist()
+    try:
+        m = np.array(KMeans(k=k, seed=seed, maxIter=50).fit(rows.select(array_to_vector("f").alias("features"))).clusterCenters())
+        k, d = m.shape
+        width = d * d if full else d
+        w, c, last = None, None, -np.inf
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 + k * (1 + d + width))
+            for b in batches:
+                if not len(b):
+                    continue
+                x = _x(b)
+                if w is None:  # the groups of k-means
+                    q, fits = np.eye(k)[squared(x, m).argmin(axis=1)], np.zeros(1)
+                else:
+                    q, fits = _posterior(x, w, m, c)
+                off = [x - center for center in m]
+                second = [((q[:, i, None] * off[i]).T @ off[i]).ravel() if full else q[:, i] @ off[i] ** 2 for i in range(k)]
+                total += np.concatenate([[fits.sum()], q.sum(axis=0), *(q[:, i] @ off[i] for i in range(k)), *second])
+            yield pd.DataFrame({"at": np.arange(len(total)), "g": total})
+
+        for _ in range(201):
+            found = rows.mapInPandas(partial, "at int, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+            g = np.array([r.g for r in sorted(found)])
+            n, first, second = g[1 : k + 1] + 10 * np.finfo(float).eps, g[k + 1 :][: k * d].reshape(k, d), g[k + 1 + k * d :].reshape(k, -1)
+            mean, fitted = g[0] / n.sum(), w is not None
+            if fitted and abs(mean - last) < 1e-3:
+                break
+            last = mean if fitted else last
+            step = first / n[:, None]
+            second = second / n[:, None]
+            if full:
+                c = second.reshape(k, d, d) - step[:, :, None] * step[:, None, :]
+                c = (c + c.transpose(0, 2, 1)) / 2 + 1e-6 * np.eye(d)
+            else:
+                c = np.maximum(second - step**2, 0.0) + 1e-6
+            w, m = n / n.sum(), m + step
+    finally:
+        rows.unpersist()
+    return w, m, c
+
+
 def gmm_codebook(descriptors: DataFrame, k: int = 32, seed: int = 42) -> tuple[list[float], list[list[float]], list[list[float]]]:
-    """Weights, means and variances of a Gaussian mixture over all rows, for fisher_vector; its size doesn't depend on the rows."""
-    model = GaussianMixture(k=k, seed=seed).fit(descriptors.select(array_to_vector("f").alias("features")))
-    g = model.gaussians
-    return list(model.weights), [x.mean.toArray().tolist() for x in g], [np.diag(x.cov.toArray()).tolist() for x in g]
+    """Weights, means and variances of a diagonal Gaussian mixture over all rows, for fisher_vector; its size doesn't depend on the rows."""
+    w, m, v = _em(descriptors, k, seed, False)
+    return w.tolist(), m.tolist(), v.tolist()
 
 
 def mixture(descriptors: DataFrame, k: int = 25, seed: int = 42) -> DataFrame:
-    """(shape_id, vid, label, probability) by a Gaussian mixture of k components."""
-    x = descriptors.select("shape_id", "vid", array_to_vector("f").alias("features"))
-    out = GaussianMixture(k=k, seed=seed).fit(x).transform(x)
-    return out.select("shape_id", "vid", F.col("prediction").alias("label"), F.array_max(vector_to_array("probability")).alias("probability"))
+    """(shape_id, vid, label, probability) by a Gaussian mixture of k components with whole covariances."""
+    model = _em(descriptors, k, seed, True)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                q = _posterior(_x(b), *model)[0]
+                yield pd.DataFrame({"shape_id": b["shape_id"], "vid": b["vid"], "label": q.argmax(axis=1), "probability": q.max(axis=1)})
+
+    kinds = {x: descriptors.schema[x].dataType.simpleString() for x in ("shape_id", "vid")}
+    return descriptors.select("shape_id", "vid", "f").mapInPandas(label, f"shape_id {kinds['shape_id']}, vid {kinds['vid']}, label int, probability double")
 
 
 def spectral_pca(descriptors: DataFrame, components: int = 2) -> DataFrame:

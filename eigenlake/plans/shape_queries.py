@@ -213,7 +213,7 @@ def bag_of_spectral_words(spark, sf_dir):
 
 @query()
 def fisher_vector(spark, sf_dir):
-    d = _rows(spark, sf_dir).select(F.col("label").alias("shape_id"), "vid", F.slice("f", 1, 8).alias("f"))
+    d = _rows(spark, sf_dir).select(F.col("label").alias("shape_id"), "vid", "f")
     return inference.fisher_vector(d, *cluster.gmm_codebook(d, 4))
 
 
@@ -272,7 +272,7 @@ def cluster_dbscan(spark, sf_dir):
 
 @query()
 def cluster_mixture(spark, sf_dir):
-    return cluster.mixture(_rows(spark, sf_dir).withColumn("f", F.slice("f", 1, 8)), 5)
+    return cluster.mixture(_rows(spark, sf_dir), 5)
 
 
 @query()

@@ -109,3 +109,25 @@ def test_synthetic_data(spark):
     assert resample.random_cloud(spark, 50, "multi_cluster").select("cluster").distinct().count() == 5
     maps = resample.random_maps(spark, 20, 50, 4, 2.0).where("vid < 10").groupBy("grp").agg(F.avg("value").alias("m")).orderBy("grp").collect()
     assert maps[1].m - maps[0].m > 1.7
+
+
+def test_mixtures_read_whole_vectors(spark, tmp_path):
+    from eigenlake.plans.shape_queries import QUERIES
+
+    draw = np.random.default_rng(9)
+    rows = [(i, [*draw.normal(0, 0.1, 8).tolist(), *draw.normal(3.0 * (i % 2), 0.1, 56).tolist()], i % 2) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    groups = [set(), set()]
+    for r in QUERIES["cluster_mixture"](spark, str(tmp_path)).collect():
+        groups[r.vid % 2].add(r.label)
+    assert not groups[0] & groups[1]
+    fv = [np.array(r.fv) for r in QUERIES["fisher_vector"](spark, str(tmp_path)).orderBy("shape_id").collect()]
+    assert all(len(x) == 2 * 4 * 64 for x in fv) and fv[0] @ fv[1] < 0.9
+
+
+def test_codebook_of_known_groups(blobs):
+    w, m, v = cluster.gmm_codebook(blobs, 3)
+    x, l = np.array([r.f for r in blobs.orderBy("vid").collect()]), np.arange(90) // 30
+    order = np.argsort([a - b for a, b in m])
+    for i, k in zip(order, (2, 0, 1), strict=True):
+        assert abs(w[i] - 1 / 3) < 1e-9 and np.allclose(m[i], x[l == k].mean(0)) and np.allclose(v[i], x[l == k].var(0) + 1e-6)
