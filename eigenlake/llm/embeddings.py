@@ -58,14 +58,19 @@ def keys(units: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS
     return h
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for v in b.column(1).to_pylist():
-            u = unit(v)
-            n = None if u is None else xxhash.xxh3_128_intdigest((np.asarray(v, np.float64) + 0.0).tobytes())
-            out.append((None, None) if n is None else ((n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["id", "c1", "c2"])
+def _classes(vectors: bool):
+    """The class of each row, and with ``vectors`` its vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v in b.column(1).to_pylist():
+                u = unit(v)
+                n = None if u is None else xxhash.xxh3_128_intdigest((np.asarray(v, np.float64) + 0.0).tobytes())
+                out.append((None, None) if n is None else ((n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *b.columns[1 : 2 if vectors else 1]], ["id", "c1", "c2"] + ["vector"] * vectors)
+
+    return run
 
 
 def _buckets(tables: int, projections: int, width: float):
@@ -149,8 +154,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors that are null, empty or zero or hold null or non-finite components
     link with nothing, nor do vectors of different sizes; a row without an id
     is counted by no other, has 0 links and a null component and is kept;
-    repeated rows are vectors of their own that link with each other.  Other
-    columns aren't read.
+    repeated rows are vectors of their own that link with each other, and rows
+    that share an id but not the vector have links and a component each.
+    Other columns aren't read.
 
     At cosine 0.95 (distance 0.316) a pair meets in one of 16 projections of
     width 2 with probability 0.874, so in one of 64 tables with 0.9996; at
@@ -158,11 +164,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ``projections``, about one for each two-fold growth.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
-    base = cut(rows.select("id", "vector").mapInArrow(_classes, "id long, c1 long, c2 long"))
+    base = cut(rows.select("id", "vector").mapInArrow(_classes(False), "id long, c1 long, c2 long"))
     known = base.where("id is not null and c1 is not null")
-    classes = cut(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    by_rep = classes.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    reps = cut(rows.join(by_rep, rows["id"] == by_rep["rep"]).select("id", "vector", "weight").join(known.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    classes = cut(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()))
+    named = rows.where("id is not null").mapInArrow(_classes(True), f"id long, c1 long, c2 long, vector {rows.schema['vector'].dataType.simpleString()}")
+    same = [named[c] == classes[c] for c in ("c1", "c2")] + [named["id"] == classes["rep"]]
+    reps = cut(named.join(classes, same).select(F.col("node").alias("id"), "vector", "weight").dropDuplicates(["id"]))
     keyed = reps.select("id", "vector").mapInArrow(_buckets(tables, projections, width), "id long, keys array<long>").select("id", F.posexplode("keys").alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -173,8 +180,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(tasks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_link(least, tables, projections, width), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found, "id", "root")
-    full = classes.join(links, classes["rep"] == links["id"], "left").join(roots, classes["rep"] == roots["node"], "left")
-    full = cut(full.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component")))
+    lowest = classes.join(roots, "node").groupBy("root").agg(F.min("rep").alias("lowest"))
+    full = classes.join(links, classes["node"] == links["id"], "left").join(roots, "node", "left").join(lowest, "root", "left")
+    full = cut(full.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lowest", "rep").alias("component")))
     joined = base.alias("v").join(full.alias("c"), [F.col(f"v.{c}") == F.col(f"c.{c}") for c in ("c1", "c2")] + [F.col("v.id").isNotNull()], "left")
     component = F.coalesce(F.col("c.component"), F.col("v.id"))
     return joined.select(F.col("v.id").alias(id_col), F.coalesce("c.n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("v.id") == component, F.lit(True)).alias("kept"))

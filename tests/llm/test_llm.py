@@ -154,6 +154,15 @@ def test_embeddings(spark):
     assert {i: (n[i], want[i]) for i, _ in rows} == {r.vec_id: (r.n_links, r.component_id) for r in got}
 
 
+def test_vectors_that_share_an_id(spark):
+    a, b, c = ([float(i == j) for i in range(4)] for j in range(3))
+    near = lambda v: [x + 0.05 for x in v]
+    rows = [(0, near(b)), (1, a), (1, b), (2, near(a)), (3, b), (4, None), (4, c), (4, None), (5, near(c))]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()
+    want = [(0, 2, 0), (1, 1, 1), (1, 2, 0), (2, 1, 1), (3, 2, 0), (4, 0, 4), (4, 0, 4), (4, 1, 4), (5, 1, 4)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(WORDS, k=40) + (["vile"] * (i % 3 > 0) + ["worst"] * (i % 3 > 1)))) for i in range(600)] + [(600, None), (601, "")]
