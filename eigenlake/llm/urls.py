@@ -126,8 +126,8 @@ def fit(urls: list[str], blocked: np.ndarray, rounds: int = 40, depth: int = 3,
 
 
 def train(labelled: DataFrame, url_col: str = "url", blocked_col: str = "blocked", sample: int = SAMPLE) -> Trees:
-    """A model from rows with a URL and a 0/1 label; at most ``sample`` of them, by hash, reach the driver."""
-    chosen = labelled.select(labelled[url_col].alias("url"), labelled[blocked_col].cast("int").alias("y")).where("url is not null and y is not null")
+    """A model from rows with a URL and a 0/1 label; at most ``sample`` of their distinct pairs, by hash, reach the driver."""
+    chosen = labelled.select(labelled[url_col].alias("url"), labelled[blocked_col].cast("int").alias("y")).where("url is not null and y is not null").distinct()
     table = chosen.orderBy(F.xxhash64("url"), "url", "y").limit(sample).toArrow()
     return fit(table["url"].to_pylist(), table["y"].to_numpy().astype(float))
 

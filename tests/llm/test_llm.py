@@ -212,6 +212,13 @@ def test_urls(spark):
     assert np.mean((model.probability(pd.Series(many[400:])) >= 0.5) == np.arange(400, 800) % 2) > 0.97
 
 
+def test_repeated_urls_are_one_example(spark):
+    rows = [(f"http://a{i}.org/{'x' * (i % 5)}", i % 2) for i in range(10)]
+    rows = sorted(rows * 30)
+    got = urls.train(spark.createDataFrame(rows, "url string, blocked int"), sample=10)
+    assert got.trees and got.default == 5.5 / 11
+
+
 def test_bpe_equals_tiktoken(spark):
     import tiktoken
 
