@@ -28,9 +28,10 @@ def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that leak no benchmark item; rows that share an id go together, those without an id each by its text."""
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("text")))
+    found = decontam.leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select(F.col("_key").alias("_leaking")).distinct()
+    return keyed.join(found, F.col("_key").eqNullSafe(F.col("_leaking")), "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

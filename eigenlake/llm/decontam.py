@@ -64,15 +64,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     is where the best one starts (the earliest of equals), counted in words.
     An item or text that is null or without words leaks nothing; an item of
     fewer than five words is one shingle; a document shorter than an item is
-    one window.  Rows with a null id are reported under null; rows that share
-    an id are one document; extra columns aren't read.
+    one window.  Rows with a null id, of documents or items, are reported under null;
+    rows that share an id are one document or item, each text by itself; extra columns aren't read.
     """
     items = benchmark.select(benchmark[item_col].alias("item"), words_of(benchmark[item_text_col]).alias("words")).where(F.size("words") > 0).distinct()
     size = F.least(F.size("words"), F.lit(SHINGLE))
-    items = items.select("item", F.size("words").alias("m"), size.alias("k"), shingles_of(F.col("words"), size).alias("own"))
+    items = items.select("item", F.xxhash64("words").alias("row"), F.size("words").alias("m"), size.alias("k"), shingles_of(F.col("words"), size).alias("own"))
     stats = items.agg(F.collect_set("k").alias("sizes"), F.sum(F.size("own")).alias("n")).first()
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    places = _bounded(items.select("item", "m", "k", F.size("own").alias("total"), F.posexplode("own").alias("q", "shingle")), stats["n"] or 0)
+    places = _bounded(items.select("item", "row", "m", "k", F.size("own").alias("total"), F.posexplode("own").alias("q", "shingle")), stats["n"] or 0)
     version = F.xxhash64("text").alias("version")
     worded = texts.select("id", version, words_of(F.col("text")).alias("words"))
     hits = None
@@ -81,18 +81,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         some = at.join(places.where(F.col("k") == k), "shingle").drop("shingle")
         hits = some if hits is None else hits.unionByName(some)
     need = F.ceil(F.col("total") * percent / 100).cast("int")
-    met = hits.groupBy("id", "version", "item", "m", "k", "n", "total").agg(F.size(F.collect_set("q")).alias("matched"), F.array_sort(F.collect_set("p")).alias("ps"))
+    met = hits.groupBy("id", "version", "item", "row", "m", "k", "n", "total").agg(F.size(F.collect_set("q")).alias("matched"), F.array_sort(F.collect_set("p")).alias("ps"))
     met = met.withColumn("need", need).where((F.col("matched") >= F.col("need")) & (F.size("ps") >= F.col("need")))
     first = F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), lambda a: F.struct(F.get("ps", a).alias("lo"), F.get("ps", a + F.col("need") - 1).alias("hi")))
     last = F.greatest(F.col("n") - F.col("m"), F.lit(0))
     spans = F.transform(first, lambda s: F.struct(F.greatest(F.lit(0), s["hi"] - F.col("m") + F.col("k")).alias("from"), F.least(s["lo"], last).alias("to")))
     starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["from"] <= s["to"]), lambda s: F.sequence(s["from"], s["to"]))))
-    asked = met.select("id", "version", "item", "m", "k", starts.alias("starts")).where(F.size("starts") > 0)
-    asked = asked.groupBy("id", "version").agg(F.collect_list(F.struct("item", "m", "k", "starts")).alias("asked"))
+    asked = met.select("id", "version", "item", "row", "m", "k", starts.alias("starts")).where(F.size("starts") > 0)
+    asked = asked.groupBy("id", "version").agg(F.collect_list(F.struct("item", "row", "m", "k", "starts")).alias("asked"))
     found = texts.withColumn("version", version).join(asked.withColumnRenamed("id", "own").withColumnRenamed("version", "v"), F.col("id").eqNullSafe(F.col("own")) & (F.col("version") == F.col("v")))
-    windows = found.select("id", words_of(F.col("text")).alias("words"), F.explode("asked").alias("a")).select("id", "words", "a.item", "a.m", "a.k", F.explode("a.starts").alias("at"))
-    cut = windows.select("id", "item", "at", "k", F.slice("words", F.col("at") + 1, F.col("m")).alias("w")).select("id", "item", "at", shingles_of(F.col("w"), F.least(F.col("k"), F.size("w"))).alias("shingles"))
-    near = cut.join(_bounded(items.select(F.col("item").alias("i"), "own"), stats["n"] or 0), F.col("item") == F.col("i"))
+    windows = found.select("id", words_of(F.col("text")).alias("words"), F.explode("asked").alias("a")).select("id", "words", "a.item", "a.row", "a.m", "a.k", F.explode("a.starts").alias("at"))
+    cut = windows.select("id", "item", "row", "at", "k", F.slice("words", F.col("at") + 1, F.col("m")).alias("w")).select("id", "item", "row", "at", shingles_of(F.col("w"), F.least(F.col("k"), F.size("w"))).alias("shingles"))
+    near = cut.join(_bounded(items.select(F.col("item").alias("i"), F.col("row").alias("r"), "own"), stats["n"] or 0), F.col("item").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")))
     both, every = similarity_parts(F.col("shingles"), F.col("own"))
     checked = near.select("id", "item", "at", both.alias("both"), every.alias("every")).where(F.col("both") * 100 >= F.col("every") * percent)
     best = F.max(F.struct((F.col("both") / F.col("every")).alias("similarity"), (-F.col("at")).alias("at")))

@@ -142,6 +142,19 @@ def test_leaks_with_a_repeated_word(spark):
     assert want == {(r.doc_id, r.item_id): (r.n_windows, r.first_word, r.similarity) for r in got.collect()}
 
 
+def test_leaks_without_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = " ".join(WORDS[:30]), " ".join(WORDS[40:80])
+    items = spark.createDataFrame([(None, a), (None, b), (1, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, a), (None, "clean words of no item at all"), (None, None), (5, b), (6, "more clean words"), (7, "first text"), (7, a)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontam.leaks(docs, items).collect()}
+    assert set(got) == {(None, None), (5, None), (5, 1), (7, None)}
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "clean words of no item at all"), (6, "more clean words")]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((20, 16))
