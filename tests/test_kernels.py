@@ -156,3 +156,16 @@ def test_rows_of_cloud_laplacians_sum_to_zero(points, kind):
     assert lap.alias("a").join(lap.alias("b"), [F.col("a.i") == F.col("b.j"), F.col("a.j") == F.col("b.i")]).where("abs(a.w - b.w) > 1e-12").count() == 0
     lam = eigen.decompose_cloud(lap, 5).first().lam
     assert abs(lam[0]) < 1e-8 and lam[1] > 0
+
+
+def test_eigenpairs_out_of_tolerance_raise():
+    import numpy as np
+    import pytest
+
+    from eigenlake.operators import eigen
+
+    n = eigen.DENSE + 1
+    i = np.arange(n)
+    a = eigen.Sparse(np.concatenate([i, i, i]), np.concatenate([i, (i + 1) % n, (i - 1) % n]), np.concatenate([np.full(n, 2.0), np.full(2 * n, -1.0)]), n)
+    with pytest.raises(ArithmeticError):
+        eigen.smallest_pairs(a, np.ones(n), 2, tol=0.0)
