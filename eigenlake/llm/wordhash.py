@@ -1,9 +1,10 @@
 """Vectorised word hashing over Arrow string columns.
 
-Texts are read straight from the Arrow buffers: word bounds, word hashes and
-word n-gram hashes are NumPy passes over a slice of the batch, so there is no
-Python object per word.  A slice holds about ``SLICE_BYTES`` of text (a longer
-single text is a slice of its own), which bounds the memory of a task.
+Texts are read straight from the Arrow buffers: word bounds and word n-gram
+hashes are NumPy passes over a slice of the batch.  The words of a slice are
+dictionary-encoded by their bytes, so equal codes are equal words, and each
+distinct word is hashed by XXH3.  A slice holds about ``SLICE_BYTES`` of text
+(a longer single text is a slice of its own), which bounds the memory of a task.
 """
 
 from __future__ import annotations
@@ -14,13 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, np.ndarray] = {}
 
 
 def delimited(delimiters: str) -> np.ndarray:
@@ -41,23 +40,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * SLICE_BYTES:
-            _powers[base] = have
-    return have
-
-
 @dataclass
 class Words:
     """The words of the texts first..first+n-1 of a batch, in order.
 
     ``doc`` is the text of each word, ``bound`` the first word of each text and
     a last entry; ``starts`` and ``ends`` are byte positions in ``data``.
+    ``codes`` are equal for equal words of the slice, ``hashes`` everywhere.
     """
 
     first: int
@@ -67,6 +56,7 @@ class Words:
     ends: np.ndarray
     doc: np.ndarray
     bound: np.ndarray
+    codes: np.ndarray
     hashes: np.ndarray
 
     def grams(self, k: int) -> np.ndarray:
@@ -106,11 +96,11 @@ def words(texts: pa.Array, table: np.ndarray = WHITE_SPACE, lower: bool = False)
     while first < last:
         to = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
         at = offsets[first : to + 1] - offsets[first]
-        yield _split(first, data[offsets[first] : offsets[to]], at, table, lower)
+        yield split(first, data[offsets[first] : offsets[to]], at, table, lower)
         first = to
 
 
-def _split(first: int, data: np.ndarray, at: np.ndarray, table: np.ndarray, lower: bool) -> Words:
+def split(first: int, data: np.ndarray, at: np.ndarray, table: np.ndarray, lower: bool) -> Words:
     if lower:
         data = data + (((data >= 65) & (data <= 90)) * np.uint8(32))
     n = len(data)
@@ -125,28 +115,61 @@ def _split(first: int, data: np.ndarray, at: np.ndarray, table: np.ndarray, lowe
     after[:-1] = word[1:]
     starts = np.flatnonzero(word & ~(before & ~edge[:-1]))
     ends = np.flatnonzero(word & ~(after & ~edge[1:])) + 1
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n + 1)[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    size = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=size[1:])
+    own = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(data[word]))])
+    encoded = own.dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))[codes]
     bound = np.searchsorted(starts, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(bound))
-    return Words(first, len(at) - 1, data, starts, ends, doc, bound, hashes)
+    return Words(first, len(at) - 1, data, starts, ends, doc, bound, codes, hashes)
 
 
 def hash_word(word: str) -> int:
     """The hash that ``words`` gives this word."""
-    return int(_split(0, np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]), np.ones(256, bool), False).hashes[0])
+    return xxhash.xxh3_64_intdigest(word.encode())
+
+
+def named(h: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of the ``depth`` words from each word on, from hashes at depths that double."""
+    have, factor = 1, np.uint64(0x9E3779B97F4A7C15)
+    while 2 * have <= depth:
+        h = mix(h[: max(len(h) - have, 0)] * factor + h[have:])
+        have *= 2
+    rest = depth - have
+    return mix(h[: max(len(h) - rest, 0)] * factor + h[rest:]) if rest else h
+
 
+def ranked(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Rank of the ``depth`` words from each word on among all of the slice, word by word, from ranks at depths that double.
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w consecutive entries, by doubling."""
+    Equal ranks are equal words; the order is that of the codes, lexicographic.
+    """
+    have, r = 1, codes
+    while have < depth:
+        step = min(have, depth - have)
+        r = r[: max(len(r) - step, 0)] * (int(r.max(initial=0)) + 1) + r[step:]
+        r = np.unique(r, return_inverse=True)[1].reshape(-1)
+        have += step
+    return r
+
+
+def first_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Place of the minimum, the first of equals, of each w consecutive entries, by doubling."""
     n, have = len(x) - w + 1, 1
     if n <= 0:
-        return x[:0]
+        return np.empty(0, np.int64)
+
+    def of(place: np.ndarray, step: int) -> np.ndarray:
+        left, right = place[: len(place) - step], place[step:]
+        return np.where(x[left] <= x[right], left, right)
+
+    place = np.arange(len(x))
     while 2 * have <= w:
-        x = np.minimum(x[: len(x) - have], x[have:])
+        place = of(place, have)
         have *= 2
-    return np.minimum(x[:n], x[w - have : w - have + n])
+    return of(place, w - have)[:n] if have < w else place[:n]
 
 
 def ids(column: pa.Array, rows: np.ndarray) -> pa.Array:

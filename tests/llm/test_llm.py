@@ -67,9 +67,9 @@ def test_settling_needs_no_first_pivot():
     assert linked[0, 1:].tolist() == [True, False, False] and not linked[1, :3].any()
 
 
-@pytest.mark.parametrize("group", [8192, 1])
-def test_substring(docs, group, monkeypatch):
-    monkeypatch.setattr(substring, "GROUP", group)
+@pytest.mark.parametrize("budget", [1 << 22, 5000, 1])
+def test_substring(docs, budget, monkeypatch):
+    monkeypatch.setattr(substring, "BUDGET", budget)
     seen, want = set(), {}
     for r in sorted(docs.collect()):
         w = (r.text or "").split()
