@@ -12,6 +12,7 @@ meets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,11 @@ from . import wordhash as W
 from .graph import components
 from .state import cut
 
-TABLES, PROJECTIONS, WIDTH = 64, 16, 2.0
+WIDTH = 2.0
+#: Share of pairs at the least cosine that may meet in no table.
+MISSED = 0.0005
+#: Distinct vectors for which 16 projections do; each doubling takes one more.
+FOR_16 = 1 << 14
 #: Members of one block of a bucket, about.
 BLOCK = 512
 _drawn: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -44,7 +49,22 @@ def unit(vector: list | None) -> np.ndarray | None:
     return x / np.sqrt((x * x).sum())
 
 
-def keys(units: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
+def settings(n: int, least: float = 0.95, width: float = WIDTH, missed: float = MISSED) -> tuple[int, int]:
+    """Tables and projections for n distinct vectors.
+
+    Two vectors at distance c share a cell of a projection with probability
+    1 - erfc(r/sqrt 2) - (1 - exp(-r*r/2)) * sqrt(2/pi)/r at r = width / c.  At
+    right angles that is about one half, so one more projection a doubling of n
+    keeps the chance pairs a vector meets in a bucket, and the tables follow so
+    that a pair at the least cosine is missed by all of them with probability ``missed``.
+    """
+    projections = 16 + max(0, math.ceil(math.log2(max(n, 1) / FOR_16)))
+    r = width / math.sqrt(max(2 - 2 * least, 1e-12))
+    share = 1 - math.erfc(r / math.sqrt(2)) - (1 - math.exp(-r * r / 2)) * math.sqrt(2 / math.pi) / r
+    return math.ceil(math.log(missed) / math.log1p(-(share**projections))), projections
+
+
+def keys(units: np.ndarray, tables: int, projections: int, width: float = WIDTH) -> np.ndarray:
     """The bucket of each vector in each table, as uint64."""
     d = units.shape[1]
     if (d, tables, projections) not in _drawn:
@@ -146,7 +166,7 @@ def _link(least: float, tables: int, projections: int, width: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, tables: int | None = None, projections: int | None = None, width: float = WIDTH) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``vectors``.
 
     Links are pairs found with cosine >= ``least``, equal vectors included;
@@ -158,15 +178,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     that share an id but not the vector have links and a component each.
     Other columns aren't read.
 
-    At cosine 0.95 (distance 0.316) a pair meets in one of 16 projections of
-    width 2 with probability 0.874, so in one of 64 tables with 0.9996; at
-    0.96 it is missed four times in a hundred thousand.  More rows need more
-    ``projections``, about one for each two-fold growth.
+    Tables and projections follow from the number of distinct vectors, see
+    ``settings``: at the least cosine a pair is missed five times in ten
+    thousand, and beyond it less often.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
     base = cut(rows.select("id", "vector").mapInArrow(_classes(False), "id long, c1 long, c2 long"))
     known = base.where("id is not null and c1 is not null")
     classes = cut(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()))
+    own = settings(classes.count(), least, width)
+    tables, projections = tables or own[0], projections or own[1]
     named = rows.where("id is not null").mapInArrow(_classes(True), f"id long, c1 long, c2 long, vector {rows.schema['vector'].dataType.simpleString()}")
     same = [named[c] == classes[c] for c in ("c1", "c2")] + [named["id"] == classes["rep"]]
     reps = cut(named.join(classes, same).select(F.col("node").alias("id"), "vector", "weight").dropDuplicates(["id"]))

@@ -8,25 +8,41 @@ from pyspark.sql import functions as F
 from .state import cut
 
 
+#: Edges beyond which a node is a hub, if that is more than the ``HUBS``-th part of all edge ends; so there are at most ``HUBS`` hubs.
+HUB, HUBS = 1000, 20_000
+
+
+def _lowest(rows: DataFrame, ends: int) -> DataFrame:
+    """``rows`` (u, v), v neighbours of u, with m, the smallest v of u.
+
+    The edges of a hub stay where they are, as its m is broadcast (there are
+    at most ``HUBS`` hubs); only the others are shuffled to their node.
+    """
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    limit = max(HUB, ends // HUBS)
+    hubs = F.broadcast(low.where(F.col("degree") > limit).select("u", "m"))
+    others = low.where(F.col("degree") <= limit).select("u", "m")
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(others, "u"))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node that can be reached.
 
     Large-star and small-star steps in turn, each one aggregation and one join
     on the edge table, until nothing changes: about log(longest path) rounds.
-    A node with very many edges is safe, as the minimum of its neighbours is
-    taken by a map-side aggregate and the join back can be split.  Loops and
-    repeated edges are allowed; edges with a null end are ignored.
+    A node with very many edges is safe: the minimum of its neighbours is
+    taken by a map-side aggregate and broadcast.  Loops and repeated edges are
+    allowed; edges with a null end are ignored.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    digest = None
+    digest = pairs.agg(F.count("*").alias("n"), _sum_of_hashes("u", "v")).first()
     while True:
+        ends = 2 * digest["n"]
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = _lowest(both, ends).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _lowest(large, ends)
+        pairs = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = pairs.agg(F.count("*").alias("n"), _sum_of_hashes("u", "v")).first()
         if now == digest:
             return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,20 +5,22 @@ its whole word sequence).  One permutation of the hashed universe places every
 shingle, and circular shifts of a second one give all coordinates of the
 signature, so two permutations stand in for one a coordinate.
 
-Nothing is decided by a signature alone: pairs that meet in a band are
-confirmed on the full sets.  Documents with equal sets are one class from the
+Nothing is decided by a signature alone: links are confirmed on the full sets,
+word by word.  Documents of equal words in a row are one class from the
 start.  Not all pairs of a bucket are formed: first each bucket's smallest
 document is held against the others, which connects most of a group of near
 copies at one comparison a member.  Buckets that are in one component then are
 done.  In the others, members that aren't in the bucket's largest component
 are held against all members, inside a task, as a product of two 0/1 matrices
-over the shingles; large buckets are split into pairs of blocks.  A task
-returns a spanning set of edges, at most one a member.  So every pair that
-meets is confirmed, refuted, or already connected.
+over the shingles; large buckets are split into pairs of blocks, bounded by
+their shingles.  A task returns a spanning set of edges, at most one a member,
+each confirmed word by word.  So every pair that meets is confirmed, refuted,
+or already connected.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ from .state import cut
 
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
-#: Members of one block of a bucket, about.
-BLOCK = 2048
+#: Members, and shingles of the members, of one block of a bucket, about.
+BLOCK, SHINGLES = 1024, 1 << 18
+#: Bytes of text that are confirmed at once.
+AT_ONCE = 1 << 21
 _tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -62,6 +66,24 @@ def shingle_sets(part: W.Words, k: int) -> list[np.ndarray]:
     return out
 
 
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text its set of shingles, named so that equal names are equal words among these texts."""
+    data, at = W.buffers(texts)
+    part = W.split(0, data, at, W.WHITE_SPACE, True)
+    rank, whole, out = W.ranked(part.codes, k), {}, []
+    for lo, hi in zip(part.bound[:-1], part.bound[1:], strict=True):
+        if 0 < hi - lo < k:
+            out.append(np.array([-1 - whole.setdefault(tuple(part.codes[lo:hi].tolist()), len(whole))]))
+        else:
+            out.append(np.unique(rank[lo : max(lo, hi - k + 1)]))
+    return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def signatures(sets: list[np.ndarray], n: int, seed: int = 1) -> np.ndarray:
     """n coordinates for each set, none of which is empty."""
     place, shifted = _permutations(seed, n)
@@ -78,7 +100,6 @@ def _describe(shingle: int, bands: int, rows: int):
                 size = np.array([len(x) for x in sets])
                 full = np.flatnonzero(size)
                 key = np.zeros((part.n, bands), np.uint64)
-                a, c = np.zeros(part.n, np.uint64), np.zeros(part.n, np.uint64)
                 if len(full):
                     sig = signatures([sets[i] for i in full], bands * rows).astype(np.uint64)
                     for j in range(bands):
@@ -86,11 +107,10 @@ def _describe(shingle: int, bands: int, rows: int):
                         for x in range(j * rows, j * rows + rows):
                             h = W.mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, x])
                         key[full, j] = h
-                    every, first = np.concatenate([sets[i] for i in full]), np.cumsum([0, *size[full][:-1]])
-                    a[full], c[full] = np.add.reduceat(W.mix(every), first), np.add.reduceat(W.mix(every ^ np.uint64(0x5851F42D4C957F2D)), first)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(part.n + 1, dtype=np.int32) * bands), W.longs(key.reshape(-1)))
+                digest = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in part.between(part.bound[:-1], part.bound[1:])]), np.int64).reshape(-1, 2)
                 rows_of = b.column(0).slice(part.first, part.n)
-                yield pa.RecordBatch.from_arrays([rows_of, pa.array(size.astype(np.int64)), W.longs(a), W.longs(c), keys], ["id", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([rows_of, pa.array(size.astype(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), keys], ["id", "n", "s1", "s2", "bands"])
 
     return run
 
@@ -98,12 +118,13 @@ def _describe(shingle: int, bands: int, rows: int):
 def _confirm(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            linked = []
-            for at in range(0, len(b), 256):
-                left, right = ([s for part in W.words(b.column(i).slice(at, 256), lower=True) for s in shingle_sets(part, shingle)] for i in (2, 3))
-                for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            size, linked, at = sum(W.buffers(b.column(i))[1][1:] for i in (2, 3)), [], 0
+            while at < len(b):
+                before = int(size[at - 1]) if at else 0
+                n = max(1, int(np.searchsorted(size, before + AT_ONCE, "right")) - at)
+                sets = exact_sets(pa.concat_arrays([b.column(2).slice(at, n), b.column(3).slice(at, n)]), shingle)
+                linked += [_similar(x, y, percent) for x, y in zip(sets[:n], sets[n:], strict=True)]
+                at += n
             keep = b.filter(pa.array(linked, pa.bool_()))
             yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], ["a", "b"])
 
@@ -119,7 +140,7 @@ def _linked(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> np.ndarra
     names, column = np.unique(column[shared], return_inverse=True)
     member, order = member[shared], np.argsort(column, kind="stable")
     member, column = member[order], column[order]
-    both = np.zeros((len(rows), len(sets)), np.float64)
+    both = np.zeros((len(rows), len(sets)), np.float32)
     step = max(1, (1 << 22) // len(sets))
     for lo in range(0, len(names), step):
         a, b = np.searchsorted(column, [lo, lo + step])
@@ -129,48 +150,61 @@ def _linked(sets: list[np.ndarray], rows: np.ndarray, percent: int) -> np.ndarra
     return 100 * both >= percent * (size[rows][:, None] + size[None, :] - both)
 
 
+def _spanning(linked: np.ndarray, label: np.ndarray, confirmed) -> list[tuple[int, int]]:
+    """Edges between members that connect what confirmed links connect, beyond equal labels; ``linked`` is symmetric."""
+    order = np.argsort(label, kind="stable")
+    members = np.split(order, np.cumsum(np.bincount(label))[:-1])
+    seen, out = np.zeros(len(members), bool), []
+    for first in range(len(members)):
+        if seen[first]:
+            continue
+        seen[first], queue = True, members[first].tolist()
+        while queue:
+            i = queue.pop()
+            for j in np.flatnonzero(linked[i] & ~seen[label]).tolist():
+                if not seen[label[j]] and confirmed(i, j):
+                    seen[label[j]] = True
+                    out.append((i, j))
+                    queue += members[label[j]].tolist()
+    return out
+
+
 def _settle(shingle: int, percent: int):
     """Decides what is open in each (bucket, block, block); rows: key, lo, hi, block, id, label, text."""
 
-    def task(held: list[dict]) -> list[tuple[int, int]]:
-        sets = [s for part in W.words(pa.array([r["text"] for r in held], pa.string()), lower=True) for s in shingle_sets(part, shingle)]
-        ids, labels, block = (np.array([r[c] for r in held]) for c in ("id", "label", "block"))
-        names, label, n = np.unique(labels, return_inverse=True, return_counts=True)
-        rows = np.flatnonzero(label != np.argmax(n))
-        if not len(rows):
+    def task(rows: pa.Table) -> list[tuple[int, int]]:
+        texts = rows["text"].combine_chunks()
+        ids, labels, block = (rows[c].to_numpy() for c in ("id", "label", "block"))
+        _, label, n = np.unique(labels, return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero(label != np.argmax(n))
+        if not len(open_):
             return []
-        open_ = _linked(sets, rows, percent) & (label[rows][:, None] != label[None, :])
-        if held[0]["lo"] != held[0]["hi"]:
-            open_ &= block[rows][:, None] != block[None, :]
-        # the smallest member of each component, over links and known labels
-        root, out = np.array([np.flatnonzero(label == i)[0] for i in range(len(names))]), []
-        parent = np.arange(len(names))
-
-        def top(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for i, j in zip(*np.nonzero(open_), strict=True):
-            a, b = top(label[rows[i]]), top(label[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(ids[root[a]]), int(ids[root[b]])))
-        return out
+        sets = [s for part in W.words(texts, lower=True) for s in shingle_sets(part, shingle)]
+        linked = np.zeros((len(sets), len(sets)), bool)
+        linked[open_] = _linked(sets, open_, percent)
+        linked |= linked.T
+        if rows["lo"][0] != rows["hi"][0]:
+            linked &= block[:, None] != block[None, :]
+
+        def confirmed(i: int, j: int) -> bool:
+            return _similar(*exact_sets(texts.take(pa.array([i, j])), shingle), percent)
+
+        return [(int(ids[i]), int(ids[j])) for i, j in _spanning(linked, label, confirmed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         last, out = None, []
         for b in batches:
-            for at in range(0, len(b), 500):
-                for r in b.slice(at, 500).to_pylist():
-                    name = r["key"], r["lo"], r["hi"]
-                    if name != last:
-                        out += task(held) if len(held) > 1 else []
-                        held, last = [], name
-                    held.append(r)
-        out += task(held) if len(held) > 1 else []
+            name = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            first = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]).any(axis=1)]))
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(b)], strict=True):
+                if held and tuple(name[lo]) != last:
+                    out += task(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                last = tuple(name[lo])
+        if held:
+            out += task(pa.Table.from_batches(held))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return run
@@ -206,10 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long"))
     labels = components(edges, "a", "b")
     rest = active.join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti")
-    rest = cut(rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("label")))
-    buckets = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first")).where("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    buckets = buckets.groupBy("m", "x", "first").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))  # buckets of the same members are one
+    rest = cut(rest.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label")))
+    buckets = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("first")).where("lo < hi")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("n") / SHINGLES)).cast("int")
+    buckets = buckets.groupBy("m", "n", "x", "first").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks"))  # buckets of the same members are one
     placed = rest.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     placed = placed.where("blocks = 1").select("key", "id", "label", "block", F.lit(0).alias("other")).unionByName(placed.where("blocks > 1").select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")))
     tasks = placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "label").join(found, "id").select("key", "lo", "hi", "block", "id", "label", "text")

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session names none (as in tests), one of our own is set."""
+    """The folder in spark.checkpoint.dir.
+
+    Where the session names none, a local session (as in tests) gets a folder
+    of its own; a cluster must name one, as a machine's own folder isn't shared.
+    """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="eigenlake-checkpoint-")
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="eigenlake-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 

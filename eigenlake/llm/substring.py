@@ -104,20 +104,9 @@ def _marked(key: np.ndarray, row: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, mine), len(listed) - 1)] == mine if len(listed) else np.zeros(len(key), bool)
 
 
-def _spaced(part: W.Words) -> tuple[bytes, np.ndarray]:
-    """The words of a slice joined by single spaces, and where each starts (with a last entry)."""
-    size = part.ends - part.starts
-    start = np.concatenate([[0], np.cumsum(size + 1)])
-    out = np.full(int(start[-1]), 32, np.uint8)
-    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(start[:-1], size) + within] = part.data[np.repeat(part.starts, size) + within]
-    return out.tobytes(), start
-
-
 def _texts_of(part: W.Words, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray]:
     """The text of each run, and its digest as two longs."""
-    data, start = _spaced(part)
-    text = [data[a : b - 1] for a, b in zip(start[lo].tolist(), start[hi + window].tolist(), strict=True)]
+    text = part.between(lo, hi + window)
     return text, np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in text]), np.int64).reshape(-1, 2)
 
 

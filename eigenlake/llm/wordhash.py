@@ -1,16 +1,18 @@
 """Vectorised word hashing over Arrow string columns.
 
-Texts are read straight from the Arrow buffers: word bounds and word n-gram
-hashes are NumPy passes over a slice of the batch.  The words of a slice are
-dictionary-encoded by their bytes, so equal codes are equal words, and each
-distinct word is hashed by XXH3.  A slice holds about ``SLICE_BYTES`` of text
-(a longer single text is a slice of its own), which bounds the memory of a task.
+Texts are read straight from the Arrow buffers: word bounds, word hashes and
+word n-gram hashes are NumPy passes over a slice of the batch.  Where words
+must be told apart for certain, those of a slice are dictionary-encoded by
+their bytes: equal codes are equal words.  A slice holds about
+``SLICE_BYTES`` of text (a longer single text is a slice of its own), which
+bounds the memory of a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,9 @@ import xxhash
 SLICE_BYTES = 1 << 20
 
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of a word that are mixed in eight at a time; a longer word is hashed by XXH3.
+_SHORT = 64
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def delimited(delimiters: str) -> np.ndarray:
@@ -29,6 +34,7 @@ def delimited(delimiters: str) -> np.ndarray:
     return table
 
 
+_ONE_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 #: Words are runs of anything but ASCII white space.
 WHITE_SPACE = delimited("\t\n\x0b\x0c\r ")
 
@@ -46,7 +52,6 @@ class Words:
 
     ``doc`` is the text of each word, ``bound`` the first word of each text and
     a last entry; ``starts`` and ``ends`` are byte positions in ``data``.
-    ``codes`` are equal for equal words of the slice, ``hashes`` everywhere.
     """
 
     first: int
@@ -56,9 +61,20 @@ class Words:
     ends: np.ndarray
     doc: np.ndarray
     bound: np.ndarray
-    codes: np.ndarray
     hashes: np.ndarray
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        """A number for each word, equal for equal words of the slice."""
+        size = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=size[1:])
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] += 1
+        edge[self.ends] -= 1
+        own = np.ascontiguousarray(self.data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(size), pa.py_buffer(own)])
+        return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k-1 entries of the slice have none."""
         h, n = self.hashes, len(self.hashes) - k + 1
@@ -70,6 +86,18 @@ class Words:
             out += h[i : i + n]
         return mix(out + np.uint64(k))
 
+    def between(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The words (between white space) first..last, exclusive, of a text joined by single spaces, for each pair of places."""
+        data, last = self.data.tobytes().translate(_ONE_SPACE), np.maximum(last, first)
+        odd = np.zeros(len(self.starts) + 1, np.int64)  # gaps before each word that aren't one byte
+        odd[1:-1] = self.starts[1:] != self.ends[:-1] + 1
+        odd = np.cumsum(odd)
+        lo = np.append(self.starts, 0)[first].tolist()
+        hi = np.append(self.ends, 0)[last - 1].tolist()
+        plain = (odd[np.maximum(last - 1, first)] == odd[first]).tolist()
+        some = (last > first).tolist()
+        return [(data[a:b] if p else b" ".join(data[a:b].split())) if s else b"" for a, b, p, s in zip(lo, hi, plain, some, strict=True)]
+
     def inside(self, k: int) -> np.ndarray:
         """Whether the k words from each word on lie in one text."""
         n = len(self.doc) - k + 1
@@ -115,20 +143,32 @@ def split(first: int, data: np.ndarray, at: np.ndarray, table: np.ndarray, lower
     after[:-1] = word[1:]
     starts = np.flatnonzero(word & ~(before & ~edge[:-1]))
     ends = np.flatnonzero(word & ~(after & ~edge[1:])) + 1
-    size = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts, out=size[1:])
-    own = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(data[word]))])
-    encoded = own.dictionary_encode()
-    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, encoded.dictionary.to_pylist()), np.uint64, len(encoded.dictionary))[codes]
     bound = np.searchsorted(starts, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(bound))
-    return Words(first, len(at) - 1, data, starts, ends, doc, bound, codes, hashes)
+    return Words(first, len(at) - 1, data, starts, ends, doc, bound, hash_words(data, starts, ends))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    h = size.astype(np.uint64) * _GRAM + np.uint64(0x9E3779B97F4A7C15)
+    rows, at = np.arange(len(starts)), 0
+    while len(rows):
+        h[rows] = mix(h[rows] * _GRAM ^ (eight[starts[rows] + at] & _FIRST[np.minimum(size[rows] - at, 8)]))
+        at += 8
+        rows = rows[(size[rows] > at) & (size[rows] <= _SHORT)]
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
 
 
 def hash_word(word: str) -> int:
     """The hash that ``words`` gives this word."""
-    return xxhash.xxh3_64_intdigest(word.encode())
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(hash_words(data, np.array([0]), np.array([len(data)]))[0])
 
 
 def named(h: np.ndarray, depth: int) -> np.ndarray:
