@@ -256,24 +256,44 @@ def spectral_clusters(descriptors: DataFrame, k: int, neighbours: int = 20, seed
     return per_shape(descriptors, kernel, "vid long, label int")
 
 
+def _nonnegative_start(h: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors from the singular vectors: of each pair the signs' half that weighs more; beyond the rank, small seeded numbers."""
+    u, s, vt = np.linalg.svd(h, full_matrices=False)
+    draw = np.random.default_rng(seed)
+    w, f = draw.random((len(h), k)) * 1e-3, draw.random((k, h.shape[1])) * 1e-3
+    for c in range(min(k, int((s > 1e-12 * max(s[0], 1e-300)).sum()) if len(s) else 0)):
+        halves = [(np.maximum(sign * u[:, c], 0), np.maximum(sign * vt[c], 0)) for sign in (1, -1)]
+        left, right = max(halves, key=lambda x: np.linalg.norm(x[0]) * np.linalg.norm(x[1]))
+        w[:, c] += left * np.sqrt(s[c])
+        f[c] += right * np.sqrt(s[c])
+    return w, f
+
+
 def gnmf(descriptors: DataFrame, edges: DataFrame, components: int = 8, smooth: float = 1.0, smooth_scales: float = 0.0, sparsity: float = 0.0, steps: int = 300, tol: float = 1e-5, seed: int = 42) -> DataFrame:
-    """(shape_id, vid, label, weights): nonnegative factors with a graph term over vertices, and a chain term over scales if wanted; the label is the largest weight."""
+    """(shape_id, vid, label, weights): nonnegative factors with a graph term over vertices, and a chain term over scales if wanted; the label is the largest weight.
+
+    Components are solved one after the other in closed form, given the
+    others and the neighbours' present weights, from the singular vectors on,
+    until no weight changes by more than ``tol`` of the largest.
+    """
 
     def kernel(r, e):
         h, ids, n = np.maximum(_x(r), 0), r["vid"].to_numpy(), len(r)
         u, v = np.searchsorted(ids, e["u"]), np.searchsorted(ids, e["v"])
-        a = Sparse(np.concatenate([u, v]), np.concatenate([v, u]), np.ones(2 * len(u)), n)
-        degree = np.bincount(a.i, minlength=n).astype(float)[:, None]
-        chain = np.eye(h.shape[1], k=1) + np.eye(h.shape[1], k=-1)
-        draw, eps, last = np.random.default_rng(seed), 1e-12, np.inf
-        w, f = draw.random((n, components)) + 0.1, draw.random((components, h.shape[1])) + 0.1
+        near = Sparse(np.concatenate([u, v]), np.concatenate([v, u]), np.ones(2 * len(u)), n)
+        pull = smooth * np.bincount(near.i, minlength=n)
+        beside = smooth_scales * (np.eye(h.shape[1], k=1) + np.eye(h.shape[1], k=-1))
+        w, f = _nonnegative_start(h, components, seed)
         for _ in range(steps):
-            f *= (w.T @ h + smooth_scales * f @ chain) / (w.T @ w @ f + smooth_scales * f * chain.sum(axis=0) + eps)
-            w *= (h @ f.T + smooth * (a @ w)) / (w @ (f @ f.T) + smooth * degree * w + sparsity + eps)
-            cost = float(np.square(h - w @ f).sum())
-            if np.isfinite(last) and abs(last - cost) < tol * max(last, eps):
+            before = w.copy()
+            for c in range(components):
+                rest = h @ f[c] - w @ (f @ f[c]) + w[:, c] * (f[c] @ f[c])
+                w[:, c] = np.maximum(rest + smooth * (near @ w[:, c]) - sparsity / 2, 0) / np.maximum(f[c] @ f[c] + pull, 1e-300)
+            for c in range(components):
+                rest = w[:, c] @ h - (w[:, c] @ w) @ f + (w[:, c] @ w[:, c]) * f[c]
+                f[c] = np.maximum(rest + beside @ f[c], 0) / np.maximum(w[:, c] @ w[:, c] + beside.sum(axis=0), 1e-300)
+            if np.abs(w - before).max(initial=0) <= tol * np.abs(w).max(initial=0):
                 break
-            last = cost
         return {"vid": ids, "label": w.argmax(axis=1), "weights": list(w)}
 
     return per_pair(descriptors, edges, kernel, "vid long, label int, weights array<double>", ("vid", "u"))

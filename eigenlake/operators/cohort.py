@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import running
+from .order import midranks, quantiles, running
 
 TINY = 1e-30
 
@@ -28,15 +28,9 @@ def ttest(maps: DataFrame, a: str, b: str, pooled: bool = False) -> DataFrame:
     return s.select("vid", F.coalesce(diff / F.nullif(se, F.lit(0.0)), F.lit(0.0)).alias("t"), df.alias("df"), d.alias("cohens_d"), (d * (1 - 3 / (4 * both - 1))).alias("hedges_g"))
 
 
-def midrank(value: Column, *partition: str) -> Column:
-    """Average rank of equal values, from 1."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(w.partitionBy(*partition, value)) - 1) / 2
-
-
 def mannwhitney(maps: DataFrame, a: str, b: str) -> DataFrame:
     """(vid, u): the U statistic of group a, ties by midranks."""
-    ranked = maps.where(F.col("grp").isin(a, b)).withColumn("r", midrank(F.col("value"), "vid"))
+    ranked = midranks(maps.where(F.col("grp").isin(a, b)), "value", "r", "vid")
     n, total = F.count(F.when(F.col("grp") == a, 1)), F.sum(F.when(F.col("grp") == a, F.col("r")))
     return ranked.groupBy("vid").agg((total - n * (n + 1) / 2).alias("u"))
 
@@ -44,7 +38,7 @@ def mannwhitney(maps: DataFrame, a: str, b: str) -> DataFrame:
 def kruskal(rows: DataFrame, group: str, value: str, *by: str) -> DataFrame:
     """(by..., h, groups, n): Kruskal-Wallis H with the correction for ties, over groups of more than one."""
     sizes = rows.groupBy(*by, group).agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    ranked = rows.join(sizes, [*by, group]).withColumn("r", midrank(F.col(value), *by))
+    ranked = midranks(rows.join(sizes, [*by, group]), value, "r", *by)
     per = ranked.groupBy(*by, group).agg(F.sum("r").alias("r"), F.count("*").alias("m")).groupBy(*by).agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count("*").alias("groups"))
     ties = ranked.groupBy(*by, value).agg(F.count("*").cast("double").alias("t")).groupBy(*by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     joined = per.join(ties, list(by)) if by else per.crossJoin(F.broadcast(ties))
@@ -72,14 +66,16 @@ def partial_correlation(rows: DataFrame, *by: str) -> DataFrame:
 
 def spearman(rows: DataFrame, *by: str) -> DataFrame:
     """(by..., rho): correlation of midranks of x and y."""
-    ranked = rows.withColumn("rx", midrank(F.col("x"), *by)).withColumn("ry", midrank(F.col("y"), *by))
+    ranked = midranks(midranks(rows, "x", "rx", *by), "y", "ry", *by)
     return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("rho"))
 
 
 def profile(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, population deviation, extremes, quartiles, skewness, excess kurtosis and 3-sigma outliers."""
     v = F.col(value)
-    s = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *(F.percentile(v, q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+    s = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    parts = quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, *by)
+    s = s.join(parts, list(by), "left") if by else s.crossJoin(F.broadcast(parts))
     z = rows.join(s.select(*by, "mean", "std"), list(by)).withColumn("z", (v - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0)))
     m = z.groupBy(*by).agg(F.avg(F.col("z") * F.col("z") * F.col("z")).alias("skewness"), (F.avg(F.pow("z", F.lit(4.0))) - 3).alias("kurtosis"), F.count_if(F.abs("z") > 3).alias("outliers"))
     return s.join(m, list(by))
@@ -155,7 +151,9 @@ def normative(rows: DataFrame, *by: str) -> DataFrame:
 def centile_curves(rows: DataFrame, width: float, *by: str) -> DataFrame:
     """(bin, age, n, p5, p25, p50, p75, p95) in age bins of equal width from 0."""
     b = F.floor(F.col("age") / width)
-    return rows.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), *(F.percentile("value", q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95))).withColumn("age", (F.col("bin") + 0.5) * width)
+    rows = rows.withColumn("bin", b)
+    parts = quantiles(rows, "value", {f"p{q}": q / 100 for q in (5, 25, 50, 75, 95)}, *by, "bin")
+    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n")).join(parts, [*by, "bin"], "left").withColumn("age", (F.col("bin") + 0.5) * width)
 
 
 def lateralisation(pairs: DataFrame) -> DataFrame:

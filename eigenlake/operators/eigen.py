@@ -6,13 +6,16 @@ Entries (shape_id, i, j, w) come from ``geometry.cotangent_laplacian`` or
 
 from __future__ import annotations
 
+import functools
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import geometry, spectral
 from .kernels import nearest, per_pair, per_shape, xyz
 
 #: Vertices up to which the matrix is solved dense.
@@ -115,8 +118,15 @@ def spectral_qc(eig: DataFrame, mass: DataFrame, tolerance: float = 1e-3, zero:
     return per_shape(joined, kernel, "lambda_0 double, negative int, near_degenerate int, orthonormality double, passed boolean")
 
 
-def geodesic_dijkstra(edges: DataFrame, sources: list[int]) -> DataFrame:
-    """(shape_id, vid, distance): shortest way along edges (shape_id, u, v, length) from the nearest source; infinite where there is none."""
+def _is_source(vid: Column, sources: list[int] | Callable[[Column], Column]) -> Column:
+    return sources(vid) if callable(sources) else vid.isin(sources)
+
+
+def geodesic_dijkstra(edges: DataFrame, sources: list[int] | Callable[[Column], Column]) -> DataFrame:
+    """(shape_id, vid, distance): shortest way along edges (shape_id, u, v, length) from the nearest source of the shape; infinite where there is none.
+
+    ``sources`` are ids, or a condition on the id.
+    """
 
     def kernel(e):
         ids = np.unique(np.concatenate([e["u"], e["v"]]))
@@ -125,7 +135,7 @@ def geodesic_dijkstra(edges: DataFrame, sources: list[int]) -> DataFrame:
         order = np.argsort(i, kind="stable")
         j, w, at = j[order], w[order], np.searchsorted(i[order], np.arange(len(ids) + 1))
         far = np.full(len(ids), np.inf)
-        heap = [(0.0, int(s)) for s in np.searchsorted(ids, np.intersect1d(ids, sources))]
+        heap = [(0.0, int(s)) for s in np.unique(np.concatenate([a[e["u_source"]], b[e["v_source"]]]))]
         for _, s in heap:
             far[s] = 0.0
         while heap:
@@ -138,7 +148,8 @@ def geodesic_dijkstra(edges: DataFrame, sources: list[int]) -> DataFrame:
                     heapq.heappush(heap, (d + c, y))
         return {"vid": ids, "distance": far}
 
-    return per_shape(edges, kernel, "vid long, distance double", order="u")
+    marked = edges.withColumns({f"{c}_source": _is_source(F.col(c), sources) for c in "uv"})
+    return per_shape(marked, kernel, "vid long, distance double", order="u")
 
 
 def conjugate_gradient(product, b: np.ndarray, diagonal: np.ndarray, tol: float = 1e-10, steps: int = 5000) -> np.ndarray:
@@ -172,7 +183,7 @@ def _cotangent(v: np.ndarray, f: np.ndarray) -> tuple[Sparse, np.ndarray]:
     return Sparse(np.concatenate(i), np.concatenate(j), np.concatenate(w), len(v)), np.maximum(mass, 1e-20)
 
 
-def geodesic_heat(vertices: DataFrame, faces: DataFrame, sources: list[int], t_factor: float = 1.0) -> DataFrame:
+def geodesic_heat(vertices: DataFrame, faces: DataFrame, sources: list[int] | Callable[[Column], Column], t_factor: float = 1.0) -> DataFrame:
     """(shape_id, vid, distance) by the heat method: diffuse for the squared mean edge length, normalise the gradient, solve for its potential; 0 at the nearest point."""
 
     def kernel(p, q):
@@ -181,7 +192,7 @@ def geodesic_heat(vertices: DataFrame, faces: DataFrame, sources: list[int], t_f
         lap, mass = _cotangent(v, f)
         side = np.linalg.norm(v[f] - v[np.roll(f, -1, axis=1)], axis=2)
         t = t_factor * side.mean() ** 2
-        start = np.isin(ids, sources).astype(float)
+        start = p["source"].to_numpy().astype(float)
         diag = np.bincount(lap.i[lap.i == lap.j], lap.w[lap.i == lap.j], lap.n)
         u = conjugate_gradient(lambda x: mass * x + t * (lap @ x), start, mass + t * diag)
         normal = np.cross(v[f[:, 1]] - v[f[:, 0]], v[f[:, 2]] - v[f[:, 0]])
@@ -197,18 +208,24 @@ def geodesic_heat(vertices: DataFrame, faces: DataFrame, sources: list[int], t_f
         phi = conjugate_gradient(lambda y: lap @ y, -(div - div.mean()), np.maximum(diag, 1e-12))
         return {"vid": ids, "distance": phi - phi[start > 0].min() if start.any() else np.full(len(v), np.inf)}
 
-    return per_pair(vertices, faces, kernel, "vid long, distance double")
+    return per_pair(vertices.withColumn("source", _is_source(F.col("vid"), sources)), faces, kernel, "vid long, distance double")
 
 
-def anisotropic_laplacian(vertices: DataFrame, faces: DataFrame, anisotropy: float = 1.0, direction: str = "max", neighbours: int = 15) -> DataFrame:
-    """Entries (shape_id, i, j, w): cotangent weights times 1 + a (d.e)^2, d the direction of most or least spread around the vertex and e the edge's direction; both ends are averaged, so that the matrix stays symmetric."""
+def anisotropic_laplacian(vertices: DataFrame, faces: DataFrame, anisotropy: float = 1.0, direction: str | float = "max", neighbours: int = 15) -> DataFrame:
+    """Entries (shape_id, i, j, w): cotangent weights times 1 + a (d.e)^2, d the direction of most or least spread around the vertex and e the edge's direction; both ends are averaged, so that the matrix stays symmetric.
+
+    ``direction`` may also be an angle, from the first of these directions to the second.
+    """
+
+    turn = {"max": 0.0, "min": np.pi / 2}.get(direction, direction)
 
     def kernel(p, q):
         v, ids = xyz(p), p["vid"].to_numpy()
         lap, _ = _cotangent(v, np.searchsorted(ids, q[["i0", "i1", "i2"]].to_numpy()))
         near = v[nearest(v, neighbours)[0]]
         near = near - near.mean(axis=1, keepdims=True)
-        d = np.linalg.eigh(np.einsum("nki,nkj->nij", near, near))[1][:, :, 2 if direction == "max" else 1]
+        axes = np.linalg.eigh(np.einsum("nki,nkj->nij", near, near))[1]
+        d = np.cos(turn) * axes[:, :, 2] + np.sin(turn) * axes[:, :, 1]
         off = lap.i != lap.j
         key, inverse = np.unique(lap.i[off] * lap.n + lap.j[off], return_inverse=True)
         w = np.bincount(inverse, lap.w[off], len(key))
@@ -223,13 +240,32 @@ def anisotropic_laplacian(vertices: DataFrame, faces: DataFrame, anisotropy: flo
     return per_pair(vertices, faces, kernel, "i long, j long, w double")
 
 
-def chebyshev_coefficients(kernel, n: int, a: float, b: float) -> np.ndarray:
-    """n coefficients of kernel on [a, b] by cosine quadrature, the first halved."""
-    nodes = max(n + 1, 2 * n)
-    theta = (np.arange(nodes) + 0.5) * np.pi / nodes
-    y = kernel((b - a) / 2 * np.cos(theta) + (a + b) / 2)
-    c = 2 / nodes * np.cos(np.outer(np.arange(n), theta)) @ y
-    c[0] /= 2
+def _anisotropic_eig(vertices: DataFrame, faces: DataFrame, k: int, anisotropy: float, direction: str | float) -> DataFrame:
+    return decompose(anisotropic_laplacian(vertices, faces, anisotropy, direction), geometry.vertex_areas(vertices, faces), k)
+
+
+def anisotropic_hks(vertices: DataFrame, faces: DataFrame, k: int = 50, n_times: int = 50, anisotropy: float = 0.5, direction: str | float = "max") -> DataFrame:
+    """Heat kernel signature (shape_id, vid, t, time, hks) of the anisotropic Laplacian."""
+    return spectral.hks(_anisotropic_eig(vertices, faces, k, anisotropy, direction), n_times)
+
+
+def anisotropic_wks(vertices: DataFrame, faces: DataFrame, k: int = 50, n_energies: int = 50, anisotropy: float = 0.5, direction: str | float = "max") -> DataFrame:
+    """Wave kernel signature (shape_id, vid, e, wks) of the anisotropic Laplacian."""
+    return spectral.wks(_anisotropic_eig(vertices, faces, k, anisotropy, direction), n_energies=n_energies)
+
+
+def anisotropic_wavelets(vertices: DataFrame, faces: DataFrame, scales: list[float], k: int = 50, n_directions: int = 4, anisotropy: float = 0.5, kernel: str = "mexican_hat") -> DataFrame:
+    """(shape_id, vid, direction, s, value): wavelet energies of the anisotropic Laplacian for directions that divide a half turn equally."""
+    parts = [spectral.wavelet_descriptor(_anisotropic_eig(vertices, faces, k, anisotropy, np.pi * i / n_directions), scales, kernel).withColumn("direction", F.lit(i)) for i in range(n_directions)]
+    return functools.reduce(DataFrame.unionByName, parts).select("shape_id", "vid", "direction", "s", "value")
+
+
+def chebyshev_series(kernel, degree: int, top: float) -> np.ndarray:
+    """Coefficients of the polynomial of this degree that meets the kernel at the extrema of the Chebyshev polynomial on [0, top], by a fast Fourier transform."""
+    at = (1 + np.cos(np.pi * np.arange(degree + 1) / degree)) * top / 2
+    y = np.broadcast_to(kernel(at), at.shape)
+    c = np.fft.rfft(np.concatenate([y, y[-2:0:-1]])).real / degree
+    c[[0, -1]] /= 2
     return c
 
 
@@ -241,9 +277,9 @@ def sgw_transform(entries: DataFrame, signal: DataFrame, scales: list[float], ke
         top = max(float(np.bincount(m.i, np.abs(m.w), m.n).max()), 1e-12)
         flat = lambda y: (2 * (m @ y) - top * y) / top
         terms = [x, flat(x)]
-        while len(terms) < order:
+        while len(terms) <= order:
             terms.append(2 * flat(terms[-1]) - terms[-2])
-        out = [chebyshev_coefficients(lambda y, t=t: kernel(t * y), order, 0.0, top) @ np.stack(terms[:order]) for t in scales]
+        out = [chebyshev_series(lambda y, t=t: kernel(t * y), order, top) @ np.stack(terms) for t in scales]
         return {"vid": np.tile(f["vid"], len(scales)), "s": np.repeat(np.arange(len(scales)), len(f)), "value": np.concatenate(out)}
 
     return per_pair(signal.select("shape_id", "vid", "value"), entries.select("shape_id", "i", "j", "w"), run, "vid long, s int, value double", ("vid", "i"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +110,56 @@ def mean_curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return sums.join(vertex_areas(vertices, faces), ["shape_id", "vid"]).select("shape_id", "vid", (length / F.greatest("area", F.lit(1e-20)) / 2).alias("curvature"))
 
 
+def curvatures(vertices: DataFrame, faces: DataFrame, signed: bool = False) -> DataFrame:
+    """(shape_id, vid, h, k, k1, k2, shape_index, curvedness, willmore): the family that mean (h) and Gaussian (k) curvature give.
+
+    k1 >= k2 are the principal curvatures, the root kept at 0 where rounding
+    makes h*h < k.  The shape index is Koenderink's, within -1 and 1, and 0 on
+    flat spots; an umbilic has the sign of h.  ``signed`` gives h the sign of the
+    Laplacian against the normal: positive where the surface bends towards
+    its normal's back, as a sphere's does.
+    """
+    h = mean_curvature(vertices, faces)
+    if signed:
+        at = vertices.select("shape_id", F.col("vid").alias("j"), *AXES)
+        pull = cotangent_laplacian(vertices, faces).join(at, ["shape_id", "j"]).groupBy("shape_id", F.col("i").alias("vid")).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in AXES))
+        side = pull.join(vertex_normals(vertices, faces), ["shape_id", "vid"]).select("shape_id", "vid", F.signum(sum((F.col(c) * F.col(f"n{c}") for c in AXES), F.lit(0.0))).alias("side"))
+        h = h.join(side, ["shape_id", "vid"]).select("shape_id", "vid", (F.col("curvature") * F.when(F.col("side") < 0, -1.0).otherwise(1.0)).alias("curvature"))
+    both = h.select("shape_id", "vid", F.col("curvature").alias("h")).join(gaussian_curvature(vertices, faces).withColumnRenamed("curvature", "k"), ["shape_id", "vid"])
+    root = F.sqrt(F.greatest(F.col("h") * F.col("h") - F.col("k"), F.lit(0.0)))
+    both = both.withColumn("k1", F.col("h") + root).withColumn("k2", F.col("h") - root)
+    index = F.when((F.col("k1") == 0) & (F.col("k2") == 0), 0.0).otherwise(2 / F.pi() * F.atan2(F.col("k1") + F.col("k2"), F.col("k1") - F.col("k2")))
+    return both.withColumns({"shape_index": index, "curvedness": F.sqrt((F.col("k1") * F.col("k1") + F.col("k2") * F.col("k2")) / 2), "willmore": F.col("h") * F.col("h")})
+
+
+def willmore_energy(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(shape_id, energy): the squared mean curvature summed over the vertices' areas."""
+    h = mean_curvature(vertices, faces).join(vertex_areas(vertices, faces), ["shape_id", "vid"])
+    return h.groupBy("shape_id").agg(F.sum(F.col("curvature") * F.col("curvature") * F.col("area")).alias("energy"))
+
+
+def voronoi_areas(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """(shape_id, vid, area): mixed Voronoi areas.
+
+    A corner of a face without an obtuse angle gets its part of the Voronoi
+    cell; in an obtuse face the obtuse corner gets half and the others a
+    quarter each.  They sum to the surface's area, as the barycentric ones do.
+    """
+    n = _cross(_edge(0, 1), _edge(0, 2))
+    double_area = F.greatest(F.sqrt(_dot(n, n)), F.lit(1e-20))
+    dots = [_dot(_edge(o, p), _edge(o, q)) for o, p, q in ((0, 1, 2), (1, 2, 0), (2, 0, 1))]
+    squares = [_dot(_edge(a, b), _edge(a, b)) for a, b in ((1, 2), (2, 0), (0, 1))]  # opposite corner 0, 1, 2
+    obtuse = functools.reduce(lambda a, b: a | b, (d < 0 for d in dots))
+
+    def part(o: int) -> Column:
+        p, q = (o + 1) % 3, (o + 2) % 3
+        cell = (squares[p] * dots[p] + squares[q] * dots[q]) / double_area / 8
+        return F.when(obtuse, F.when(dots[o] < 0, double_area / 4).otherwise(double_area / 8)).otherwise(cell)
+
+    at = F.array(*(F.struct(F.col(f"i{o}").alias("vid"), part(o).alias("a")) for o in range(3)))
+    return corners(vertices, faces).select("shape_id", F.explode(at).alias("e")).groupBy("shape_id", "e.vid").agg(F.sum("e.a").alias("area"))
+
+
 def edges(faces: DataFrame) -> DataFrame:
     """Undirected edges (shape_id, u, v, n): u < v, and in how many faces."""
     pairs = F.array(*(F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")) for a, b in (("i0", "i1"), ("i1", "i2"), ("i2", "i0"))))
@@ -131,6 +183,23 @@ def edge_lengths(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return out.select("shape_id", "u", "v", F.sqrt(_dot(d, d)).alias("length"))
 
 
+def boundary_vertices(faces: DataFrame) -> DataFrame:
+    """(shape_id, vid): ends of the edges that only one face has."""
+    rim = edges(faces).where("n = 1")
+    return rim.select("shape_id", F.explode(F.array("u", "v")).alias("vid")).distinct()
+
+
+def quality_report(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """One row a shape: topology, area, extremes, mean and population deviation of the edge lengths, valences and the number of boundary vertices."""
+    lengths = edge_lengths(vertices, faces).groupBy("shape_id").agg(F.min("length").alias("edge_min"), F.avg("length").alias("edge_mean"), F.max("length").alias("edge_max"), F.stddev_pop("length").alias("edge_std"))
+    degrees = valence(vertices, faces).groupBy("shape_id").agg(F.min("valence").alias("valence_min"), F.avg("valence").alias("valence_mean"), F.max("valence").alias("valence_max"))
+    rim = boundary_vertices(faces).groupBy("shape_id").agg(F.count("*").alias("boundary_vertices"))
+    out = topology(vertices, faces)
+    for part in (surface_area(vertices, faces), lengths, degrees, rim):
+        out = out.join(part, "shape_id", "left")
+    return out.fillna(0, ["boundary_vertices"])
+
+
 def _both_ways(faces: DataFrame) -> DataFrame:
     e = edges(faces)
     return e.select("shape_id", F.col("u").alias("vid"), F.col("v").alias("to")).unionByName(e.select("shape_id", F.col("v").alias("vid"), F.col("u").alias("to")))

@@ -13,6 +13,7 @@ from eigenlake.functions.special import p_chi2, p_normal, p_student
 
 from . import cohort
 from .kernels import per_shape
+from .order import midranks
 
 TINY = 1e-30
 
@@ -58,7 +59,7 @@ def vertexwise_correlation(maps: DataFrame, scores: DataFrame, covariates: list[
     names = ["value", "score", *covariates]
     if method == "spearman":
         rows = _residuals(rows, covariates) if covariates else rows
-        rows = rows.withColumn("value", cohort.midrank(F.col("value"), "vid")).withColumn("score", cohort.midrank(F.col("score"), "vid"))
+        rows = midranks(midranks(rows, "value", "rv", "vid"), "score", "rs", "vid").withColumn("value", F.col("rv")).withColumn("score", F.col("rs")).drop("rv", "rs")
         names = ["value", "score"]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     s = rows.groupBy("vid").agg(F.count("*").alias("n"), F.array(*(F.covar_pop(names[i], names[j]) for i, j in pairs)).alias("c"))
@@ -188,7 +189,7 @@ def tfce(field: DataFrame, edges: DataFrame, e: float = 0.5, h: float = 2.0, ste
 def asymmetry(pairs: DataFrame) -> DataFrame:
     """(feature, w_plus, n, z, p): Wilcoxon signed ranks of left - right, zeros left out, ties by midranks, normal approximation."""
     d = pairs.withColumn("d", F.col("left") - F.col("right")).where("d <> 0").withColumn("a", F.abs("d"))
-    r = d.withColumn("r", cohort.midrank(F.col("a"), "feature"))
+    r = midranks(d, "a", "r", "feature")
     ties = r.groupBy("feature", "a").agg(F.count("*").cast("double").alias("t")).groupBy("feature").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     s = r.groupBy("feature").agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.count("*").alias("n")).join(ties, "feature")
     n = F.col("n").cast("double")
@@ -231,11 +232,9 @@ def rdm(features: DataFrame, metric: str = "correlation") -> DataFrame:
 
 def rsa_compare(rdm_a: DataFrame, rdm_b: DataFrame, method: str = "spearman") -> DataFrame:
     """(r, n): correlation of two matrices' upper triangles (a, b, d)."""
-    from .order import global_midranks
-
     rows = rdm_a.select("a", "b", F.col("d").alias("x")).join(rdm_b.select("a", "b", F.col("d").alias("y")), ["a", "b"])
     if method == "spearman":
-        rows = global_midranks(global_midranks(rows, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+        rows = midranks(midranks(rows, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
     return rows.agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
@@ -246,11 +245,9 @@ def mantel_test(rdm_a: DataFrame, rdm_b: DataFrame, permutations: int = 5000, me
     triangles, so this is for matrices of shapes or parcels, up to ``LIMIT``
     items.
     """
-    from .order import global_midranks
-
     rows = rdm_a.select("a", "b", F.col("d").alias("x")).join(rdm_b.select("a", "b", F.col("d").alias("y")), ["a", "b"])
     if method == "spearman":
-        rows = global_midranks(global_midranks(rows, "x", "rx"), "y", "ry").select("a", "b", F.col("rx").alias("x"), F.col("ry").alias("y"))
+        rows = midranks(midranks(rows, "x", "rx"), "y", "ry").select("a", "b", F.col("rx").alias("x"), F.col("ry").alias("y"))
     items = rows.select(F.explode(F.array("a", "b")).alias("i")).distinct()
     if items.count() > LIMIT:
         raise ValueError(f"mantel_test holds matrices of up to {LIMIT} items")

@@ -1,8 +1,8 @@
-"""Running sums and ranks over a whole table without putting it into one task.
+"""Running sums, ranks and quantiles over a whole table, or within keys of it, without putting either into one task.
 
-Distinct values are dealt by value into buckets whose bounds are approximate
-quantiles; sums run within a bucket, and what lies before a bucket is known
-from the buckets' totals, of which there are at most ``BUCKETS``.
+Values are dealt by value into buckets whose bounds are approximate quantiles;
+sums and ranks run within a bucket, and what lies before a bucket is known
+from the buckets' totals, of which there are at most ``BUCKETS`` a key.
 """
 
 from __future__ import annotations
@@ -15,9 +15,52 @@ BUCKETS = 256
 
 def bucketed(distinct: DataFrame, value: str) -> DataFrame:
     """Rows with the column ``bucket``, which rises with the value."""
-    cuts = distinct.agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("cuts"))
-    place = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col(value))), F.lit(0))
-    return distinct.crossJoin(F.broadcast(cuts)).withColumn("bucket", place).drop("cuts")
+    return _placed(distinct, value, [])
+
+
+def _placed(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Rows with the column ``bucket``: how many of the cuts, of the row's key, are below the value.
+
+    Every 16th cut is looked at first, then the 16 before the first of them
+    that isn't below.  A null value is in bucket 0.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("cuts"))
+    cuts = cuts.withColumn("coarse", F.transform(F.sequence(F.lit(15), F.lit(BUCKETS - 2), F.lit(16)), lambda i: F.get("cuts", i)))
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
+    joined = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
+    joined = joined.withColumn("coarse", below("coarse"))
+    return joined.withColumn("bucket", F.coalesce(F.col("coarse") * 16 + below(F.slice("cuts", F.col("coarse") * 16 + 1, F.lit(16))), F.lit(0))).drop("cuts", "coarse")
+
+
+def _counted(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., value, n, bucket, upto, last): distinct values, how many rows have them, rows up to them, and rows of the key less one.
+
+    Values are counted first, so a value that very many rows have is one row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    placed = _placed(counts, value, by)
+    few = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    totals = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("m"))
+    totals = totals.select(*by, "bucket", F.coalesce(F.sum("m").over(few), F.lit(0)).alias("before"), (F.sum("m").over(Window.partitionBy(*by)) - 1).alias("last"))
+    own = Window.partitionBy(*by, "bucket").orderBy(value)
+    return placed.withColumn("upto", F.sum("n").over(own)).join(totals, [*by, "bucket"]).withColumn("upto", F.col("upto") + F.col("before")).drop("before")
+
+
+def midranks(rows: DataFrame, value: str, out: str, *by: str) -> DataFrame:
+    """Rows with the average rank of equal values among those of the same key ``by``, from 1; a null value or key gets null."""
+    ranks = _counted(rows.select(*by, F.col(value).alias("_v")), "_v", list(by)).select(*(F.col(c).alias(f"_{c}") for c in by), "_v", (F.col("upto") - (F.col("n") - 1) / 2).alias(out))
+    return rows.join(ranks, [F.col(value) == F.col("_v"), *(F.col(c) == F.col(f"_{c}") for c in by)], "left").select(*rows.columns, out)
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by..., a column for each share): exact quantiles, interpolated between neighbours; no task holds the values of a key.
+
+    A key whose values are all null has no row.
+    """
+    counted = _counted(rows.select(*by, F.col(value).cast("double").alias("_v")), "_v", list(by))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("_v")))
+    places = {n: F.col("last") * F.lit(q) for n, q in shares.items()}
+    return counted.groupBy(*by).agg(*((at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * F.max(p - F.floor(p))).alias(n) for n, p in places.items()))
 
 
 def running(distinct: DataFrame, value: str, *sums: str) -> DataFrame:
@@ -34,12 +77,5 @@ def running(distinct: DataFrame, value: str, *sums: str) -> DataFrame:
     return joined.withColumns(extra | {"next": F.coalesce(F.lead(value).over(own), F.col("after"))}).drop("bucket", "after", *(f"{c}_before" for c in sums))
 
 
-def global_midranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Rows with the average rank of equal values, from 1; nulls get null."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranks = running(counts, "_v", "_n").select("_v", (F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(out))
-    return rows.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
-
-
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))

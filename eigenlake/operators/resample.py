@@ -176,3 +176,28 @@ def random_maps(spark: SparkSession, subjects: int = 20, vertices: int = 500, sc
     p = spark.range(subjects * vertices * scales).select(F.floor(F.col("id") / (vertices * scales)).alias("subject"), (F.floor(F.col("id") / scales) % vertices).alias("vid"), (F.col("id") % scales).cast("int").alias("t"))
     grp = F.when(F.col("subject") % 2 == 0, "a").otherwise("b")
     return p.select("subject", grp.alias("grp"), "vid", "t", (normal(seed, "subject", "vid", "t") + F.when((grp == "b") & (F.col("vid") < share * vertices), effect).otherwise(0.0)).alias("value"))
+
+
+def normative_example(spark: SparkSession, subjects: int = 200, vertices: int = 500, ages: tuple[float, float] = (20.0, 80.0), seed: int = 0) -> DataFrame:
+    """(subject, vid, age, sex, value): maps that fall with age, more so at higher vid, and are 0.1 higher for sex 1."""
+    s = spark.range(subjects).select(F.col("id").alias("subject"), (ages[0] + (ages[1] - ages[0]) * uniform(seed, "id", F.lit("age"))).alias("age"), (uniform(seed, "id", F.lit("sex")) < 0.5).cast("int").alias("sex"))
+    at = s.withColumn("vid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vertices - 1).cast("long"))))
+    slope = 0.005 + 0.015 * F.col("vid") / max(vertices - 1, 1)
+    return at.select("subject", "vid", "age", "sex", (2.5 - slope * (F.col("age") - 50) + 0.1 * F.col("sex") + 0.2 * normal(seed, "subject", "vid")).alias("value"))
+
+
+def connectome_example(spark: SparkSession, subjects: int = 40, parcels: int = 50, networks: int = 5, effect: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Edges (subject, grp, i, j, w) with i < j, heavier within a network and less so in group 1, and networks (i, network) of consecutive parcels."""
+    of = lambda c: F.least(F.floor(F.col(c) * networks / parcels), F.lit(networks - 1)).cast("int")
+    node = spark.range(parcels)
+    pairs = node.select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.lit(parcels))).alias("j")).where(F.col("j") < parcels)
+    at = spark.range(subjects).select(F.col("id").alias("subject"), (F.col("id") >= subjects // 2).cast("int").alias("grp")).crossJoin(F.broadcast(pairs))  # the example has these rows
+    mean = F.when(of("i") == of("j"), 0.6 - effect * F.col("grp")).otherwise(0.2)
+    return at.select("subject", "grp", "i", "j", (mean + 0.1 * normal(seed, "subject", "i", "j")).alias("w")), node.select(F.col("id").alias("i"), of("id").alias("network"))
+
+
+def laterality_example(spark: SparkSession, subjects: int = 40, features: int = 50, asymmetry: float = 0.3, seed: int = 0) -> DataFrame:
+    """(subject, grp, feature, left, right): a third of the features are larger on the left in group 1."""
+    at = spark.range(subjects).select(F.col("id").alias("subject"), (F.col("id") >= subjects // 2).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(features - 1))).alias("feature"))
+    side = lambda name: 1.0 + 0.1 * normal(seed, "subject", "feature", F.lit(name))
+    return at.select("subject", "grp", "feature", (side("left") + F.when((F.col("feature") < features // 3) & (F.col("grp") == 1), asymmetry).otherwise(0.0)).alias("left"), side("right").alias("right"))

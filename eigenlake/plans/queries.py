@@ -165,9 +165,9 @@ def normalize_scale(spark, sf_dir):
     return rounded(geometry.normalize_scale(points(spark, sf_dir)).drop("factor"), "x", "y", "z")
 
 
-MESH = """WITH a AS (SELECT i AS vid, i // 20 AS a, i % 20 AS b FROM range(0, 800) r(i)),
- v AS (SELECT vid, (40 + 15 * cos(2 * pi() * b / 20)) * cos(2 * pi() * a / 40) AS x, (40 + 15 * cos(2 * pi() * b / 20)) * sin(2 * pi() * a / 40) AS y, 15 * sin(2 * pi() * b / 20) AS z FROM a),
- q AS (SELECT vid AS p, (a + 1) % 40 * 20 + b AS q, (a + 1) % 40 * 20 + (b + 1) % 20 AS r, a * 20 + (b + 1) % 20 AS s FROM a),
+MESH = """WITH a AS (SELECT vec_id AS vid, vec_id // 512 AS shape_id, vec_id % 16 AS c, vec_id // 16 AS r, 10 * list_avg(embedding::DOUBLE[]) AS z FROM embeddings WHERE embedding IS NOT NULL),
+ v AS (SELECT vid, shape_id, c::DOUBLE AS x, r::DOUBLE AS y, z FROM a),
+ q AS (SELECT vid AS p, vid + 1 AS q, vid + 17 AS r, vid + 16 AS s FROM a WHERE c < 15 AND (vid + 16) // 512 = shape_id AND vid + 1 IN (SELECT vid FROM a) AND vid + 16 IN (SELECT vid FROM a) AND vid + 17 IN (SELECT vid FROM a)),
  f AS (SELECT 2 * p AS fid, p AS i0, q AS i1, r AS i2 FROM q UNION ALL SELECT 2 * p + 1, p, r, s FROM q),
  h AS (SELECT fid, unnest([i0, i1, i2]) AS o, unnest([i1, i2, i0]) AS p, unnest([i2, i0, i1]) AS q FROM f),
  g AS (SELECT fid, o, p, q, a.x - c.x AS ux, a.y - c.y AS uy, a.z - c.z AS uz, b.x - c.x AS wx, b.y - c.y AS wy, b.z - c.z AS wz FROM h JOIN v c ON c.vid = o JOIN v a ON a.vid = p JOIN v b ON b.vid = q),
@@ -178,57 +178,118 @@ MESH = """WITH a AS (SELECT i AS vid, i // 20 AS a, i % 20 AS b FROM range(0, 80
  e AS (SELECT DISTINCT least(p, q) AS u, greatest(p, q) AS v FROM h)"""
 
 
+def terrain(spark, sf_dir):
+    """Vertices and faces of height fields: a vertex a vector, 16 in a row and 512 in a shape, as high as ten times the vector's mean; a cell without all its corners has no faces."""
+    at = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    total = F.aggregate(F.filter("embedding", lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    z = 10 * total / F.size(F.filter("embedding", lambda x: x.isNotNull()))
+    shape = lambda i: F.floor(i / 512)
+    vertices = at.select(shape(F.col("vec_id")).alias("shape_id"), F.col("vec_id").alias("vid"), (F.col("vec_id") % 16).cast("double").alias("x"), F.floor(F.col("vec_id") / 16).cast("double").alias("y"), z.alias("z"))
+    cells = at.select("vec_id").where((F.col("vec_id") % 16 < 15) & (shape(F.col("vec_id")) == shape(F.col("vec_id") + 16)))
+    for step in (1, 16, 17):
+        cells = cells.join(at.select((F.col("vec_id") - step).alias("vec_id")), "vec_id", "left_semi")
+    p = F.col("vec_id")
+    face = lambda i, a, b, c: F.struct((2 * p + i).alias("fid"), a.alias("i0"), b.alias("i1"), c.alias("i2"))
+    faces = cells.select(shape(p).alias("shape_id"), F.explode(F.array(face(0, p, p + 1, p + 17), face(1, p, p + 17, p + 16))).alias("f")).select("shape_id", "f.*")
+    return vertices, faces
+
+
 @query(f"{MESH} SELECT fid, round(any_value(dbl) / 2, 6) + 0.0 AS area FROM m GROUP BY fid")
 def triangle_areas(spark, sf_dir):
-    return rounded(geometry.triangle_areas(*geometry.torus(spark)).drop("shape_id"), "area")
+    return rounded(geometry.triangle_areas(*terrain(spark, sf_dir)).drop("shape_id"), "area")
 
 
 @query(f"{MESH} SELECT vid, round(area, 6) + 0.0 AS area FROM area")
 def vertex_areas(spark, sf_dir):
-    return rounded(geometry.vertex_areas(*geometry.torus(spark)).drop("shape_id"), "area")
+    return rounded(geometry.vertex_areas(*terrain(spark, sf_dir)).drop("shape_id"), "area")
 
 
 @query(f"{MESH} SELECT i, j, round(w, 6) + 0.0 AS w FROM off UNION ALL SELECT i, i, round(-sum(w), 6) + 0.0 FROM off GROUP BY i")
 def cotangent_laplacian(spark, sf_dir):
-    return rounded(geometry.cotangent_laplacian(*geometry.torus(spark)).drop("shape_id"), "w")
+    return rounded(geometry.cotangent_laplacian(*terrain(spark, sf_dir)).drop("shape_id"), "w")
 
 
 @query(f"{MESH} SELECT o AS vid, round((2 * pi() - sum(acos(greatest(-1, least(1, dot / (sqrt(ux * ux + uy * uy + uz * uz) * sqrt(wx * wx + wy * wy + wz * wz))))))) / any_value(area), 6) + 0.0 AS curvature FROM m JOIN area ON vid = o GROUP BY o")
 def gaussian_curvature(spark, sf_dir):
-    return rounded(geometry.gaussian_curvature(*geometry.torus(spark)).drop("shape_id"), "curvature")
+    return rounded(geometry.gaussian_curvature(*terrain(spark, sf_dir)).drop("shape_id"), "curvature")
 
 
 @query(f"{MESH}, l AS (SELECT i, j, w FROM off UNION ALL SELECT i, i, -sum(w) FROM off GROUP BY i), s AS (SELECT i, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z FROM l JOIN v ON v.vid = j GROUP BY i) SELECT i AS vid, round(sqrt(x * x + y * y + z * z) / area / 2, 6) + 0.0 AS curvature FROM s JOIN area ON area.vid = i")
 def mean_curvature(spark, sf_dir):
-    return rounded(geometry.mean_curvature(*geometry.torus(spark)).drop("shape_id"), "curvature")
+    return rounded(geometry.mean_curvature(*terrain(spark, sf_dir)).drop("shape_id"), "curvature")
 
 
 @query(f"{MESH}, s AS (SELECT o AS vid, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM m GROUP BY 1) SELECT vid, round(x / sqrt(x * x + y * y + z * z), 6) + 0.0 AS nx, round(y / sqrt(x * x + y * y + z * z), 6) + 0.0 AS ny, round(z / sqrt(x * x + y * y + z * z), 6) + 0.0 AS nz FROM s")
 def vertex_normals(spark, sf_dir):
-    return rounded(geometry.vertex_normals(*geometry.torus(spark)).drop("shape_id"), "nx", "ny", "nz")
+    return rounded(geometry.vertex_normals(*terrain(spark, sf_dir)).drop("shape_id"), "nx", "ny", "nz")
+
+
+TOPOLOGY = f"""{MESH}, en AS (SELECT least(p, q) AS u, greatest(p, q) AS v, count(*) AS n FROM h GROUP BY ALL),
+ et AS (SELECT shape_id, count(*) AS e, count(*) FILTER (n = 1) AS boundary_edges FROM en JOIN v ON v.vid = u GROUP BY 1),
+ tp AS (SELECT shape_id, v, e, f, v - e + f AS euler, floor((2 - (v - e + f)) / 2)::BIGINT AS genus, boundary_edges, boundary_edges = 0 AS closed
+  FROM (SELECT shape_id, count(*) AS v FROM v GROUP BY 1) JOIN et USING (shape_id) JOIN (SELECT shape_id, count(*) AS f FROM f JOIN v ON vid = i0 GROUP BY 1) USING (shape_id))"""
 
 
-@query(f"{MESH} SELECT 800::BIGINT AS v, count(*) AS e, 1600::BIGINT AS f, (800 - count(*) + 1600)::BIGINT AS euler, ((2 - (800 - count(*) + 1600)) // 2)::BIGINT AS genus, 0::BIGINT AS boundary_edges, true AS closed FROM e")
+@query(f"{TOPOLOGY} SELECT * FROM tp")
 def mesh_topology(spark, sf_dir):
-    return geometry.topology(*geometry.torus(spark)).drop("shape_id")
+    return geometry.topology(*terrain(spark, sf_dir))
 
 
 @query(f"{MESH} SELECT u, e.v, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) + 0.0 AS length FROM e JOIN v a ON a.vid = u JOIN v b ON b.vid = e.v")
 def edge_lengths(spark, sf_dir):
-    return rounded(geometry.edge_lengths(*geometry.torus(spark)).drop("shape_id"), "length")
+    return rounded(geometry.edge_lengths(*terrain(spark, sf_dir)).drop("shape_id"), "length")
 
 
 @query(f"{MESH} SELECT vid, count(*) AS valence FROM (SELECT u AS vid FROM e UNION ALL SELECT v FROM e) GROUP BY 1")
 def vertex_valence(spark, sf_dir):
-    return geometry.valence(*geometry.torus(spark)).drop("shape_id")
+    return geometry.valence(*terrain(spark, sf_dir)).drop("shape_id")
 
 
 @query(f"{MESH}, t AS (SELECT u AS vid, v AS o FROM e UNION ALL SELECT v, u FROM e), c AS (SELECT t.vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM t JOIN v ON v.vid = o GROUP BY 1) SELECT vid, round((v.x + c.x) / 2, 6) + 0.0 AS x, round((v.y + c.y) / 2, 6) + 0.0 AS y, round((v.z + c.z) / 2, 6) + 0.0 AS z FROM v JOIN c USING (vid)")
 def laplacian_smooth(spark, sf_dir):
-    vertices, faces = geometry.torus(spark)
+    vertices, faces = terrain(spark, sf_dir)
     return rounded(geometry.laplacian_step(vertices, faces).drop("shape_id"), "x", "y", "z")
 
 
+CURVATURE = f"""{MESH}, l AS (SELECT i, j, w FROM off UNION ALL SELECT i, i, -sum(w) FROM off GROUP BY i),
+ hm AS (SELECT i AS vid, sqrt(pow(sum(w * x), 2) + pow(sum(w * y), 2) + pow(sum(w * z), 2)) / any_value(area) / 2 AS h FROM l JOIN v ON v.vid = j JOIN area ON area.vid = i GROUP BY i),
+ kg AS (SELECT o AS vid, (2 * pi() - sum(acos(greatest(-1, least(1, dot / (sqrt(ux * ux + uy * uy + uz * uz) * sqrt(wx * wx + wy * wy + wz * wz))))))) / any_value(area) AS k FROM m JOIN area ON vid = o GROUP BY o),
+ cv AS (SELECT vid, h, k, h + sqrt(greatest(h * h - k, 0)) AS k1, h - sqrt(greatest(h * h - k, 0)) AS k2 FROM hm JOIN kg USING (vid))"""
+
+
+@query(f"{CURVATURE} SELECT vid, round(h, 6) + 0.0 AS h, round(k, 6) + 0.0 AS k, round(k1, 6) + 0.0 AS k1, round(k2, 6) + 0.0 AS k2, round(2 / pi() * atan2(k1 + k2, k1 - k2), 6) + 0.0 AS shape_index, round(sqrt((k1 * k1 + k2 * k2) / 2), 6) + 0.0 AS curvedness, round(h * h, 6) + 0.0 AS willmore FROM cv")
+def curvature_family(spark, sf_dir):
+    out = geometry.curvatures(*terrain(spark, sf_dir)).drop("shape_id")
+    return rounded(out, "h", "k", "k1", "k2", "shape_index", "curvedness", "willmore")
+
+
+@query(f"{CURVATURE} SELECT shape_id, round(sum(h * h * area), 6) + 0.0 AS energy FROM cv JOIN area USING (vid) JOIN v USING (vid) GROUP BY shape_id")
+def willmore_energy(spark, sf_dir):
+    return rounded(geometry.willmore_energy(*terrain(spark, sf_dir)), "energy")
+
+
+@query(f"""{MESH}, c AS (SELECT fid, o, dot, dbl, pow(ux - wx, 2) + pow(uy - wy, 2) + pow(uz - wz, 2) AS across, min(dot) OVER (PARTITION BY fid) < 0 AS obtuse FROM m),
+ s AS (SELECT *, sum(across * dot) OVER (PARTITION BY fid) - across * dot AS others FROM c)
+ SELECT o AS vid, round(sum(CASE WHEN obtuse AND dot < 0 THEN dbl / 4 WHEN obtuse THEN dbl / 8 ELSE others / dbl / 8 END), 6) + 0.0 AS area FROM s GROUP BY o""")
+def voronoi_areas(spark, sf_dir):
+    return rounded(geometry.voronoi_areas(*terrain(spark, sf_dir)).drop("shape_id"), "area")
+
+
+@query(f"{TOPOLOGY} SELECT DISTINCT unnest([u, v]) AS vid FROM en WHERE n = 1")
+def boundary_vertices(spark, sf_dir):
+    return geometry.boundary_vertices(terrain(spark, sf_dir)[1]).select("vid")
+
+
+@query(f"""{TOPOLOGY}, el AS (SELECT a.shape_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d FROM e JOIN v a ON a.vid = u JOIN v b ON b.vid = e.v),
+ le AS (SELECT shape_id, round(min(d), 6) + 0.0 AS edge_min, round(avg(d), 6) + 0.0 AS edge_mean, round(max(d), 6) + 0.0 AS edge_max, round(stddev_pop(d), 6) + 0.0 AS edge_std FROM el GROUP BY 1),
+ va AS (SELECT shape_id, min(n) AS valence_min, round(avg(n), 6) + 0.0 AS valence_mean, max(n) AS valence_max FROM (SELECT shape_id, vid, count(u) AS n FROM v LEFT JOIN (SELECT u FROM e UNION ALL SELECT e.v FROM e) x ON u = vid GROUP BY ALL) GROUP BY 1),
+ bd AS (SELECT shape_id, count(DISTINCT vid) AS boundary_vertices FROM (SELECT unnest([u, v]) AS vid FROM en WHERE n = 1) JOIN v USING (vid) GROUP BY 1),
+ sa AS (SELECT shape_id, round(sum(dbl) / 6, 6) + 0.0 AS area FROM m JOIN v ON vid = o GROUP BY 1)
+ SELECT tp.*, area, edge_min, edge_mean, edge_max, edge_std, valence_min, valence_mean, valence_max, coalesce(boundary_vertices, 0) AS boundary_vertices FROM tp LEFT JOIN sa USING (shape_id) LEFT JOIN le USING (shape_id) LEFT JOIN va USING (shape_id) LEFT JOIN bd USING (shape_id)""")
+def quality_report(spark, sf_dir):
+    return rounded(geometry.quality_report(*terrain(spark, sf_dir)), "area", "edge_min", "edge_mean", "edge_max", "edge_std", "valence_mean")
+
+
 # ---- cohorts
 
 MAPS = "WITH maps AS (SELECT l_returnflag AS grp, l_linenumber AS vid, l_extendedprice AS value FROM lineitem WHERE l_returnflag IN ('A', 'R')), s AS (SELECT vid, count(*) FILTER (grp = 'A')::DOUBLE AS na, avg(value) FILTER (grp = 'A') AS ma, var_samp(value) FILTER (grp = 'A') AS va, count(*) FILTER (grp = 'R')::DOUBLE AS nb, avg(value) FILTER (grp = 'R') AS mb, var_samp(value) FILTER (grp = 'R') AS vb FROM maps GROUP BY 1), d AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS pool FROM s)"

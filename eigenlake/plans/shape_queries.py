@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eigenlake.operators import bayes, cloud, cluster, eigen, geometry, harmonise, inference, resample, spectral
-from eigenlake.plans.queries import EIG, MESH, ORACLES, PTS, QUERIES, eigenpairs, maps, points, query, rounded, table, trade
+from eigenlake.plans.queries import EIG, MESH, ORACLES, PTS, QUERIES, eigenpairs, maps, points, query, rounded, table, terrain, trade
 from eigenlake.sources import formats
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -97,59 +97,59 @@ def cloud_spectrum(spark, sf_dir):
 # ---- meshes
 
 
-def _torus_eig(spark, k):
-    v, f = geometry.torus(spark)
+def _mesh_eig(spark, sf_dir, k):
+    v, f = terrain(spark, sf_dir)
     return eigen.decompose(geometry.cotangent_laplacian(v, f), geometry.vertex_areas(v, f), k)
 
 
 @query()
 def mesh_spectrum(spark, sf_dir):
-    return _torus_eig(spark, 20)
+    return _mesh_eig(spark, sf_dir, 20)
 
 
 @query()
 def mesh_hks(spark, sf_dir):
-    return spectral.hks(_torus_eig(spark, 20), n_times=10)
+    return spectral.hks(_mesh_eig(spark, sf_dir, 20), n_times=10)
 
 
 @query()
 def spectral_qc(spark, sf_dir):
-    return eigen.spectral_qc(_torus_eig(spark, 20), geometry.vertex_areas(*geometry.torus(spark)))
+    return eigen.spectral_qc(_mesh_eig(spark, sf_dir, 20), geometry.vertex_areas(*terrain(spark, sf_dir)))
 
 
 @query(f"""{MESH.replace('WITH a AS', 'WITH RECURSIVE a AS', 1)}, w AS (SELECT u, e.v, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2)) AS d FROM e JOIN v p ON p.vid = u JOIN v q ON q.vid = e.v),
  s AS (SELECT u AS a, v AS b, d FROM w UNION ALL SELECT v, u, d FROM w),
- r AS (SELECT 0::BIGINT AS vid, 0.0::DOUBLE AS d, 0 AS step UNION ALL SELECT vid, min(d) AS d, min(step) AS step FROM (SELECT s.b AS vid, r.d + s.d AS d, r.step + 1 AS step FROM r JOIN s ON s.a = r.vid WHERE r.step < 60) GROUP BY vid)
+ r AS (SELECT vid, 0.0::DOUBLE AS d, 0 AS step FROM v WHERE vid % 512 = 0 UNION ALL SELECT vid, min(d) AS d, min(step) AS step FROM (SELECT s.b AS vid, r.d + s.d AS d, r.step + 1 AS step FROM r JOIN s ON s.a = r.vid WHERE r.step < 60) GROUP BY vid)
  SELECT vid, round(min(d), 6) + 0.0 AS distance FROM r GROUP BY vid""")
 def geodesic_dijkstra(spark, sf_dir):
-    return rounded(eigen.geodesic_dijkstra(geometry.edge_lengths(*geometry.torus(spark)), [0]).select("vid", "distance"), "distance")
+    return rounded(eigen.geodesic_dijkstra(geometry.edge_lengths(*terrain(spark, sf_dir)), lambda vid: vid % 512 == 0).select("vid", "distance"), "distance")
 
 
 @query()
 def geodesic_heat(spark, sf_dir):
-    return eigen.geodesic_heat(*geometry.torus(spark), [0])
+    return eigen.geodesic_heat(*terrain(spark, sf_dir), lambda vid: vid % 512 == 0)
 
 
 @query()
 def anisotropic_laplacian(spark, sf_dir):
-    return eigen.anisotropic_laplacian(*geometry.torus(spark), 0.5)
+    return eigen.anisotropic_laplacian(*terrain(spark, sf_dir), 0.5)
 
 
 @query()
 def sgw_transform(spark, sf_dir):
-    v, f = geometry.torus(spark)
+    v, f = terrain(spark, sf_dir)
     return eigen.sgw_transform(geometry.cotangent_laplacian(v, f), v.select("shape_id", "vid", F.col("z").alias("value")), [0.1, 1.0])
 
 
-@query(f"{MESH}, m2 AS (SELECT vid FROM v WHERE x > 0) SELECT fid, i0, i1, i2 FROM f WHERE i0 IN (FROM m2) AND i1 IN (FROM m2) AND i2 IN (FROM m2)")
+@query(f"{MESH}, m2 AS (SELECT vid FROM v WHERE x > 4) SELECT fid, i0, i1, i2 FROM f WHERE i0 IN (FROM m2) AND i1 IN (FROM m2) AND i2 IN (FROM m2)")
 def extract_submesh(spark, sf_dir):
-    v, f = geometry.torus(spark)
-    return formats.extract_submesh(v, f, v.where("x > 0"))[1].select("fid", "i0", "i1", "i2")
+    v, f = terrain(spark, sf_dir)
+    return formats.extract_submesh(v, f, v.where("x > 4"))[1].select("fid", "i0", "i1", "i2")
 
 
 @query()
 def encode_mesh_ply(spark, sf_dir):
-    return formats.encode_meshes(*geometry.torus(spark), "ply")
+    return formats.encode_meshes(*terrain(spark, sf_dir), "ply")
 
 
 @query("SELECT p_brand AS shape_id, p_size AS label, count(*) AS n, round(avg(p_retailprice), 6) + 0.0 AS mean, round(median(p_retailprice), 6) + 0.0 AS median, round(stddev_pop(p_retailprice), 6) + 0.0 AS std, round(quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25), 6) + 0.0 AS iqr FROM part GROUP BY ALL")
@@ -287,26 +287,26 @@ def spectral_pca(spark, sf_dir):
 
 @query()
 def cluster_gnmf(spark, sf_dir):
-    v, f = geometry.torus(spark)
+    v, f = terrain(spark, sf_dir)
     d = v.select("shape_id", "vid", F.array(F.abs("x"), F.abs("y"), F.abs("z")).alias("f"))
     return cluster.gnmf(d, geometry.edges(f), 3)
 
 
 @query()
 def cluster_persistence(spark, sf_dir):
-    v, f = geometry.torus(spark)
+    v, f = terrain(spark, sf_dir)
     return cluster.persistence(v.select("shape_id", "vid", F.col("x").alias("value")), geometry.edges(f))
 
 
 @query()
 def cluster_stdbscan(spark, sf_dir):
-    v, f = geometry.torus(spark)
+    v, f = terrain(spark, sf_dir)
     return cluster.st_dbscan(v.select("shape_id", "vid", F.array("x", "y", "z").alias("f")), geometry.edges(f))
 
 
 @query(f"{MESH}, near AS (SELECT a, max(z) AS o FROM (SELECT u AS a, v.z FROM e JOIN v ON v.vid = e.v UNION ALL SELECT e.v, v.z FROM e JOIN v ON v.vid = e.u) GROUP BY a) SELECT vid, round(z, 6) + 0.0 AS value FROM v JOIN near ON a = vid WHERE round(z, 9) > round(o, 9)")
 def cluster_scalespace_blobs(spark, sf_dir):
-    v, f = geometry.torus(spark)
+    v, f = terrain(spark, sf_dir)
     field = v.select("shape_id", "vid", F.lit(0).alias("t"), F.lit(1.0).alias("time"), F.round("z", 9).alias("value"))
     return rounded(cluster.scalespace_blobs(field, geometry.edges(f)).select("vid", "value"), "value")
 
@@ -351,7 +351,7 @@ def vertexwise_correlation(spark, sf_dir):
 
 @query()
 def tfce(spark, sf_dir):
-    v, f = geometry.torus(spark)
+    v, f = terrain(spark, sf_dir)
     return inference.tfce(v.select("shape_id", "vid", F.col("x").alias("value")), geometry.edges(f))
 
 

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from eigenlake.plans.shape_queries import ORACLES, QUERIES
+from eigenlake.plans.extra_queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
