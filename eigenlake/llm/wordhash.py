@@ -86,6 +86,9 @@ class Words:
             out += h[i : i + n]
         return mix(out + np.uint64(k))
 
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
     def between(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
         """The words (between white space) first..last, exclusive, of a text joined by single spaces, for each pair of places."""
         data, last = self.data.tobytes().translate(_ONE_SPACE), np.maximum(last, first)
