@@ -200,7 +200,7 @@ class Encoder:
 
 
 #: The code points with the property White_Space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _unicode_space(pattern: str) -> str:
