@@ -32,21 +32,27 @@ MISSED = 0.0005
 FOR_16 = 1 << 14
 #: Members of one block of a bucket, about.
 BLOCK = 512
+#: Members of a bucket up to which its pairs are compared along with those of other buckets.
+FEW = 32
 _drawn: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def unit(vector: list | None) -> np.ndarray | None:
-    """The vector at length 1; None if it can't link."""
-    if not vector or any(x is None for x in vector):
-        return None
-    x = np.asarray(vector, np.float64) + 0.0
-    if not np.isfinite(x).all():
-        return None
-    top = np.abs(x).max()
-    if not top:
-        return None
-    x = x / top
-    return x / np.sqrt((x * x).sum())
+def units_of(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, values and values at length 1 of the vectors of each size that can link."""
+    lists = pa.concat_arrays([vectors.cast(pa.list_(pa.float64()))])
+    starts = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False) + 0.0
+    bad = np.concatenate([[0], np.cumsum(np.asarray(lists.values.is_null()) | ~np.isfinite(values))])
+    size = np.diff(starts)
+    whole = np.asarray(lists.is_valid()) & (size > 0) & (bad[starts[1:]] == bad[starts[:-1]])
+    for n in np.unique(size[whole]).tolist():
+        rows = np.flatnonzero(whole & (size == n))
+        x = values[starts[rows][:, None] + np.arange(n)]
+        top = np.abs(x).max(axis=1)
+        rows, x, top = rows[top > 0], x[top > 0], top[top > 0, None]
+        if len(rows):
+            u = x / top
+            yield rows, x, u / np.sqrt((u * u).sum(axis=1, keepdims=True))
 
 
 def settings(n: int, least: float = 0.95, width: float = WIDTH, missed: float = MISSED) -> tuple[int, int]:
@@ -83,12 +89,11 @@ def _classes(vectors: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                u = unit(v)
-                n = None if u is None else xxhash.xxh3_128_intdigest((np.asarray(v, np.float64) + 0.0).tobytes())
-                out.append((None, None) if n is None else ((n >> 64) - (1 << 63), (n & (1 << 64) - 1) - (1 << 63)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *b.columns[1 : 2 if vectors else 1]], ["id", "c1", "c2"] + ["vector"] * vectors)
+            name, known = np.zeros((len(b), 2), np.int64), np.zeros(len(b), bool)
+            for rows, x, _ in units_of(b.column(1)):
+                digests = b"".join([xxhash.xxh3_128_digest(v.tobytes()) for v in x])
+                name[rows], known[rows] = np.frombuffer(digests, np.int64).reshape(-1, 2), True
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(name[:, c], mask=~known) for c in (0, 1)), *b.columns[1 : 2 if vectors else 1]], ["id", "c1", "c2"] + ["vector"] * vectors)
 
     return run
 
@@ -98,70 +103,85 @@ def _buckets(tables: int, projections: int, width: float):
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.slice(at, 1000)
-                units = [unit(v) for v in part.column(1).to_pylist()]
-                by_size: dict[int, list[int]] = {}
-                for i, u in enumerate(units):
-                    by_size.setdefault(len(u), []).append(i)
-                for rows in by_size.values():
-                    k = keys(np.stack([units[i] for i in rows]), tables, projections, width)
-                    yield pa.RecordBatch.from_arrays([W.ids(part.column(0), np.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), W.longs(k.reshape(-1)))], ["id", "keys"])
+                for rows, _, units in units_of(part.column(1)):
+                    k = keys(units, tables, projections, width)
+                    yield pa.RecordBatch.from_arrays([W.ids(part.column(0), rows), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), W.longs(k.reshape(-1)))], ["id", "keys"])
 
     return run
 
 
-def _link(least: float, tables: int, projections: int, width: float):
-    """Compares the members of each (bucket, block, block); rows: t, key, lo, hi, block, id, weight, vector."""
-
-    def task(rows: list[dict]) -> tuple[list, list, list]:
-        units = np.stack([unit(r["vector"]) for r in rows])
-        ids, weight, block = (np.array([r[c] for r in rows]) for c in ("id", "weight", "block"))
-        similar = units @ units.T >= least
-        np.fill_diagonal(similar, False)
-        if rows[0]["lo"] != rows[0]["hi"]:
-            similar &= block[:, None] != block[None, :]
-        hit = np.flatnonzero(similar.any(axis=1))
-        if not len(hit):
-            return [], [], []
-        similar, t = similar[np.ix_(hit, hit)], rows[0]["t"]
-        own = keys(units[hit], tables, projections, width)[:, :t]
-        links = np.zeros(len(hit), np.int64)
-        for i in range(len(hit)):
-            with_ = np.flatnonzero(similar[i])
-            first = ~(own[with_] == own[i]).any(axis=1)
-            links[i] = weight[hit[with_[first]]].sum()
-        root = np.arange(len(hit))
-        while True:
-            new = np.array([min(root[i], root[similar[i]].min()) for i in range(len(hit))])
-            if (new == root).all():
-                break
-            root = new[new]
-        return ids[hit].tolist(), links.tolist(), ids[hit[root]].tolist()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        last, out = None, ([], [], [])
+def _pairs(units: np.ndarray, group: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of the same group, which is a run of rows, whose cosine is at least ``least``."""
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+    size = np.diff(edge)
+    left, right = [], []
+    for lo, hi in zip(edge[:-1][size > FEW].tolist(), edge[1:][size > FEW].tolist(), strict=True):
+        i, j = np.nonzero(np.triu(units[lo:hi] @ units[lo:hi].T >= least, 1))
+        left.append(lo + i)
+        right.append(lo + j)
+    few = np.flatnonzero(np.repeat(size <= FEW, size))
+    for step in range(1, FEW):  # neighbours at each step in the runs of few rows
+        i = few[:-step][group[few[:-step]] == group[few[step:]]]
+        if not len(i):
+            break
+        hit = (units[i] * units[i + step]).sum(axis=1) >= least
+        left.append(i[hit])
+        right.append(i[hit] + step)
+    return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
 
-        def done() -> None:
-            if len(held) > 1:
-                for x, y in zip(out, task(held), strict=True):
-                    x.extend(y)
 
-        def give() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "links", "root"])
+def _link(least: float, tables: int, projections: int, width: float):
+    """Compares the members of each (bucket, block, block); rows, sorted by the first four: t, key, lo, hi, block, id, weight, vector."""
+
+    def task(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        t, lo, hi, block, ids, weight = (rows[c].to_numpy() for c in ("t", "lo", "hi", "block", "id", "weight"))
+        out = [[], [], []]
+        for at, _, units in units_of(rows["vector"].combine_chunks()):  # members of a bucket have one size
+            i, j = _pairs(units, group[at], least)
+            apart = (lo[at[i]] == hi[at[i]]) | (block[at[i]] != block[at[j]])
+            i, j = i[apart], j[apart]
+            hit, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            if not len(hit):
+                continue
+            a, b = place[: len(i)], place[len(i) :]
+            own = np.concatenate([keys(units[hit[x : x + 1000]], tables, projections, width) for x in range(0, len(hit), 1000)])
+            first, links = np.ones(len(a), bool), np.zeros(len(hit), np.int64)
+            for x in range(0, len(a), 20_000):  # a pair counts in the first table in which it meets
+                met = own[a[x : x + 20_000]] == own[b[x : x + 20_000]]
+                first[x : x + 20_000] = met.argmax(axis=1) == t[at[i[x : x + 20_000]]]
+            np.add.at(links, a[first], weight[at[hit[b[first]]]])
+            np.add.at(links, b[first], weight[at[hit[a[first]]]])
+            root = np.arange(len(hit))
+            while True:
+                new = root.copy()
+                np.minimum.at(new, b, root[a])
+                np.minimum.at(new, a, root[b])
+                new = new[new]
+                if (new == root).all():
+                    break
+                root = new
+            for have, x in zip(out, (ids[at[hit]], links, ids[at[hit[root]]]), strict=True):
+                have.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in out], ["id", "links", "root"])
 
-        for b in batches:
-            for at in range(0, len(b), 500):
-                for r in b.slice(at, 500).to_pylist():
-                    name = r["t"], r["key"], r["lo"], r["hi"]
-                    if name != last:
-                        done()
-                        held, last = [], name
-                    held.append(r)
-                if len(out[0]) > 5000:
-                    yield give()
-                    out = ([], [], [])
-        done()
-        yield give()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def named(rows: pa.Table) -> np.ndarray:
+            name = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("t", "key", "lo", "hi")], axis=1)
+            return np.cumsum(np.concatenate([[True], (name[1:] != name[:-1]).any(axis=1)]))
+
+        for whole in batches:
+            for at in range(0, len(whole), 5000):
+                rows = pa.Table.from_batches([*held, whole.slice(at, 5000)])
+                group = named(rows)
+                to = int(np.searchsorted(group, group[-1]))  # the last bucket may go on
+                if to:
+                    yield task(rows.slice(0, to), group[:to])
+                held = rows.slice(to).combine_chunks().to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield task(rows, named(rows))
 
     return run
 
