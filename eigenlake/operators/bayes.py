@@ -190,3 +190,97 @@ def gp_normative(rows: DataFrame, kernel: str = "matern52") -> DataFrame:
 def deviation(rows: DataFrame, curve: DataFrame) -> DataFrame:
     """(id, z): values (id, age, value) against a normative curve (age, mean, sd)."""
     return rows.join(curve, "age").select("id", ((F.col("value") - F.col("mean")) / (F.col("sd") + 1e-30)).alias("z"))
+
+
+def predict(draws: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, mean, sd) of the linear predictor alpha + sum of beta_j x_j over the draws, rows (id, x array); draws are the sampler's and are sent to the rows."""
+    beta = draws.where(F.col("parameter").startswith("beta_")).select("chain", "draw", F.substring_index("parameter", "_", -1).cast("int").alias("j"), "value")
+    wide = beta.groupBy("chain", "draw").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "value"))), lambda s: s["value"]).alias("b"))
+    wide = wide.join(draws.where("parameter = 'alpha'").select("chain", "draw", F.col("value").alias("a")), ["chain", "draw"])
+    moments = wide.select(F.struct("a", "b").alias("d")).agg(F.collect_list("d").alias("draws"))  # as many as were drawn
+    at = rows.crossJoin(F.broadcast(moments))
+    value = F.transform("draws", lambda d: d["a"] + F.aggregate(F.zip_with(d["b"], "x", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t))
+    total = lambda f: F.aggregate("y", F.lit(0.0), f)
+    at = at.select("id", value.alias("y"))
+    n = F.size("y")
+    at = at.withColumn("mean", total(lambda s, t: s + t) / n)
+    return at.select("id", "mean", F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, t: s + (t - F.col("mean")) * (t - F.col("mean"))) / F.greatest(n - 1, F.lit(1))).alias("sd"))
+
+
+def waic(log_likelihood: DataFrame) -> DataFrame:
+    """(elpd, p_waic, waic, n) from log-likelihoods (obs, draw, ll) of each observation under each draw; the mean of the likelihoods is formed beside the largest."""
+    top = log_likelihood.groupBy("obs").agg(F.max("ll").alias("top"), F.var_samp("ll").alias("v"))
+    mean = log_likelihood.join(top, "obs").groupBy("obs", "top", "v").agg(F.avg(F.exp(F.col("ll") - F.col("top"))).alias("m"))
+    out = mean.agg(F.sum(F.col("top") + F.log("m")).alias("lppd"), F.sum("v").alias("p_waic"), F.count("*").alias("n"))
+    return out.select((F.col("lppd") - F.col("p_waic")).alias("elpd"), "p_waic", (-2 * (F.col("lppd") - F.col("p_waic"))).alias("waic"), "n")
+
+
+def importance(draws: DataFrame) -> DataFrame:
+    """(feature, importance): the mean size of each beta_j over the draws."""
+    beta = draws.where(F.col("parameter").startswith("beta_"))
+    return beta.groupBy(F.substring_index("parameter", "_", -1).cast("int").alias("feature")).agg(F.avg(F.abs("value")).alias("importance"))
+
+
+def edge_differences(edges: DataFrame, a: str, b: str, draws: int = 2000, tune: int = 1000, chains: int = 4, seed: int = 42) -> DataFrame:
+    """Draws of mu, tau and diff_i_j from group means of edges (subject, grp, i, j, w): the differences b - a are normal about mu.
+
+    The groups enter as means, variances and numbers of each edge, so a chain
+    holds edges and not subjects, up to ``LIMIT`` of them.
+    """
+    of = lambda f, g: f(F.when(F.col("grp") == g, F.col("w")))
+    s = edges.groupBy("i", "j").agg((of(F.avg, b) - of(F.avg, a)).alias("d"), (of(F.var_samp, a) / of(F.count, a) + of(F.var_samp, b) / of(F.count, b)).alias("v")).where("d is not null and v is not null")
+    t = _rows(s).sort_values(["i", "j"])
+    d, v = t["d"].to_numpy(float), np.maximum(t["v"].to_numpy(float), 1e-12)
+    names = ["mu", "tau", *(f"diff_{i}_{j}" for i, j in zip(t["i"], t["j"], strict=True))]
+
+    def chain(rng: np.random.Generator) -> pd.DataFrame:
+        mu, tau2, out = float(d.mean()), float(d.var()) + 1e-6, []
+        for step in range(tune + draws):
+            precision = 1 / v + 1 / tau2
+            delta = (d / v + mu / tau2) / precision + rng.standard_normal(len(d)) / np.sqrt(precision)
+            mu = float(delta.mean() + rng.standard_normal() * np.sqrt(tau2 / len(d)))
+            tau2 = (1e-6 + 0.5 * np.square(delta - mu).sum()) / rng.gamma(1e-3 + len(d) / 2)
+            if step >= tune:
+                out.append(np.concatenate([[mu, np.sqrt(tau2)], delta]))
+        return _long(names, np.array(out))
+
+    return _chains(edges, chain, chains, seed, DRAWS)
+
+
+def spatial_effect(maps: DataFrame, edges: DataFrame, a: str, b: str, smooth: float = 1.0, draws: int = 1000, tune: int = 500, chains: int = 4, seed: int = 42) -> DataFrame:
+    """Draws of tau and effect_vid: the difference b - a of maps (subject, grp, vid, value), smooth along edges (u, v).
+
+    Effects have the precision (Laplacian + ``smooth`` / 1000) / tau^2; the groups
+    enter as means and numbers, so a chain holds vertices, up to 3,000 of
+    them, as it solves a dense system a draw.
+    """
+    of = lambda f, g: f(F.when(F.col("grp") == g, F.col("value")))
+    s = maps.groupBy("vid").agg((of(F.avg, b) - of(F.avg, a)).alias("d"), (of(F.var_samp, a) / of(F.count, a) + of(F.var_samp, b) / of(F.count, b)).alias("v")).where("d is not null and v is not null")
+    t, e = _rows(s).sort_values("vid"), _rows(edges.select("u", "v"))
+    if len(t) > 3000:
+        raise ValueError(f"this model takes up to 3000 vertices, not {len(t)}")
+    ids, d, v = t["vid"].to_numpy(), t["d"].to_numpy(float), np.maximum(t["v"].to_numpy(float), 1e-12)
+    keep = e["u"].isin(ids) & e["v"].isin(ids)
+    i, j = np.searchsorted(ids, e["u"][keep]), np.searchsorted(ids, e["v"][keep])
+    lap = np.zeros((len(ids), len(ids)))
+    lap[i, j] = lap[j, i] = -1
+    np.fill_diagonal(lap, -lap.sum(axis=1) + smooth / 1000)
+    names = ["tau", *(f"effect_{x}" for x in ids)]
+
+    def chain(rng: np.random.Generator) -> pd.DataFrame:
+        tau2, out = float(d.var()) + 1e-6, []
+        for step in range(tune + draws):
+            root = np.linalg.cholesky(lap / tau2 + np.diag(1 / v))
+            mean = np.linalg.solve(root.T, np.linalg.solve(root, d / v))
+            effect = mean + np.linalg.solve(root.T, rng.standard_normal(len(d)))
+            tau2 = (1e-6 + 0.5 * effect @ lap @ effect) / rng.gamma(1e-3 + len(d) / 2)
+            if step >= tune:
+                out.append(np.concatenate([[np.sqrt(tau2)], effect]))
+        return _long(names, np.array(out))
+
+    return _chains(maps, chain, chains, seed, DRAWS)
+
+
+def effects(draws: DataFrame, prefix: str = "effect_") -> DataFrame:
+    """(name, mean): posterior means of the parameters with this prefix, by the rest of their names."""
+    return draws.where(F.col("parameter").startswith(prefix)).groupBy(F.substring("parameter", len(prefix) + 1, 1 << 20).alias("name")).agg(F.avg("value").alias("mean"))

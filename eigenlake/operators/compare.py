@@ -194,7 +194,7 @@ def classical_scaling(distances: DataFrame, components: int = 2, steps: int = 30
         for _ in range(steps):
             far = np.sqrt(squared(x, x))
             stress = float(np.square(far - d).sum() / 2)
-            if last - stress <= tol * max(stress, 1e-300):
+            if np.isfinite(last) and last - stress <= tol * max(stress, 1e-300):
                 break
             last = stress
             ratio = np.where(far > 0, d / np.maximum(far, 1e-300), 0.0)

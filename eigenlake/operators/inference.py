@@ -13,9 +13,11 @@ from eigenlake.functions.special import p_chi2, p_normal, p_student
 
 from . import cohort
 from .kernels import per_shape
-from .order import midranks
+from .order import all_pairs, midranks
 
 TINY = 1e-30
+#: Labellings that a task holds at once.
+SLICE = 256
 
 
 def corrected(tests: DataFrame, id_col: str, method: str = "fdr", alpha: float = 0.05) -> DataFrame:
@@ -92,12 +94,12 @@ def _residuals(rows: DataFrame, covariates: list[str]) -> DataFrame:
     return per_shape(rows.withColumnRenamed("vid", "shape_id"), kernel, "vid long, value double, score double", order="subject").drop("shape_id")
 
 
-def _labellings(n: int, n_a: int, permutations: int, seed: int) -> np.ndarray:
-    """permutations + 1 rows of 0/1, the first of which is the observed labelling (n_a ones first)."""
-    draw, out = np.random.default_rng(seed), np.zeros((permutations + 1, n), np.float64)
-    out[0, :n_a] = 1
-    for i in range(1, permutations + 1):
-        out[i, draw.permutation(n)[:n_a]] = 1
+def _labellings(n: int, n_a: int, first: int, last: int, seed: int) -> np.ndarray:
+    """Rows first..last (exclusive) of 0/1 labellings; row 0 is the observed one (n_a ones first), each other is drawn by its own number."""
+    out = np.zeros((last - first, n))
+    for i in range(first, last):
+        at = np.random.default_rng([seed, i]).permutation(n)[:n_a] if i else np.arange(n_a)
+        out[i - first, at] = 1
     return out
 
 
@@ -119,8 +121,8 @@ def permutation_test(maps: DataFrame, a: str, b: str, permutations: int = 5000,
     if not n_a or n_a == n:
         return rows.limit(0).select("vid", F.lit(0.0).alias("statistic"), F.lit(1.0).alias("p"), F.lit(1.0).alias("p_max"), F.lit(False).alias("significant"))
 
-    def statistics(values: pd.Series) -> np.ndarray:
-        y, l = np.stack(values.to_numpy()).astype(float).T, _labellings(n, n_a, permutations, seed)
+    def statistics(y: np.ndarray, first: int, last: int) -> np.ndarray:
+        l = _labellings(n, n_a, first, last, seed)
         sa, qa = l @ y, l @ (y * y)
         ma, mb = sa / n_a, (y.sum(axis=0) - sa) / (n - n_a)
         if statistic == "mean_diff":
@@ -132,25 +134,30 @@ def permutation_test(maps: DataFrame, a: str, b: str, permutations: int = 5000,
 
     def chunks(batches):
         for b in batches:
-            for lo in range(0, len(b), 256):
-                yield b.iloc[lo : lo + 256]
+            for lo in range(0, len(b), 2000):
+                part = b.iloc[lo : lo + 2000]
+                yield part["vid"], np.stack(part["values"].to_numpy()).astype(float).T
+
+    slices = [(lo, min(lo + SLICE, permutations + 1)) for lo in range(0, permutations + 1, SLICE)]
 
     def largest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = np.zeros(permutations + 1)
-        for b in chunks(batches):
-            top = np.maximum(top, np.abs(statistics(b["values"])).max(axis=1))
+        for _, y in chunks(batches):
+            for lo, hi in slices:
+                top[lo:hi] = np.maximum(top[lo:hi], np.abs(statistics(y, lo, hi)).max(axis=1))
         yield pd.DataFrame({"permutation": np.arange(permutations + 1), "top": top})
 
     tops = rows.mapInPandas(largest, "permutation int, top double").groupBy("permutation").agg(F.max("top").alias("top"))
     null = np.sort(np.array([r.top for r in tops.where("permutation > 0").collect()]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in chunks(batches):
-            s = statistics(b["values"])
-            seen = np.abs(s[0])
-            own_p = (1 + (np.abs(s[1:]) >= seen - 1e-12).sum(axis=0)) / (permutations + 1)
+        for vid, y in chunks(batches):
+            own = statistics(y, 0, 1)[0]
+            seen, n_as_large = np.abs(own), np.zeros(y.shape[1])
+            for lo, hi in slices:
+                n_as_large += (np.abs(statistics(y, lo, hi)) >= seen - 1e-12).sum(axis=0)
             max_p = (1 + len(null) - np.searchsorted(null, seen - 1e-12)) / (permutations + 1)
-            yield pd.DataFrame({"vid": b["vid"], "statistic": s[0], "p": own_p, "p_max": max_p, "significant": max_p < alpha})
+            yield pd.DataFrame({"vid": vid, "statistic": own, "p": n_as_large / (permutations + 1), "p_max": max_p, "significant": max_p < alpha})
 
     return rows.mapInPandas(judge, "vid long, statistic double, p double, p_max double, significant boolean")
 
@@ -221,13 +228,12 @@ def rdm(features: DataFrame, metric: str = "correlation") -> DataFrame:
     if metric == "correlation":
         mean = F.aggregate(f, F.lit(0.0), lambda s, v: s + v) / F.size(f)
         f = F.transform(f, lambda v: v - mean)
-    x = features.select("id", f.alias("f")).withColumn("n", F.sqrt(dot(F.col("f"), F.col("f"))))
-    a, b = x.select(F.col("id").alias("a"), F.col("f").alias("p"), F.col("n").alias("np")), x.select(F.col("id").alias("b"), F.col("f").alias("q"), F.col("n").alias("nq"))
+    pairs = all_pairs(features.select("id", F.struct(f.alias("f"), F.sqrt(dot(f, f)).alias("n")).alias("v")), "id", "v")
     if metric == "euclidean":
-        d = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+        d = F.sqrt(F.aggregate(F.zip_with("p.f", "q.f", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
     else:
-        d = 1 - dot(F.col("p"), F.col("q")) / F.greatest(F.col("np") * F.col("nq"), F.lit(TINY))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", d.alias("d"))
+        d = 1 - dot(F.col("p.f"), F.col("q.f")) / F.greatest(F.col("p.n") * F.col("q.n"), F.lit(TINY))
+    return pairs.select("a", "b", d.alias("d"))
 
 
 def rsa_compare(rdm_a: DataFrame, rdm_b: DataFrame, method: str = "spearman") -> DataFrame:

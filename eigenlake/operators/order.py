@@ -1,4 +1,4 @@
-"""Running sums, ranks and quantiles over a whole table, or within keys of it, without putting either into one task.
+"""Running sums, ranks, quantiles and pairs over a whole table, or within keys of it, without putting either into one task.
 
 Values are dealt by value into buckets whose bounds are approximate quantiles;
 sums and ranks run within a bucket, and what lies before a bucket is known
@@ -77,5 +77,22 @@ def running(distinct: DataFrame, value: str, *sums: str) -> DataFrame:
     return joined.withColumns(extra | {"next": F.coalesce(F.lead(value).over(own), F.col("after"))}).drop("bucket", "after", *(f"{c}_before" for c in sums))
 
 
+def all_pairs(rows: DataFrame, key: str, value: str, blocks: int = 16) -> DataFrame:
+    """(a, p, b, q): each pair a < b of distinct keys once, with their values, where the pairs are the result.
+
+    Rows are dealt into blocks by the key's hash, and a pair of blocks meets
+    by an equi-join, so a row is sent ``blocks`` times and no task sees all.
+    """
+    own = F.pmod(F.xxhash64(key), F.lit(blocks))
+    every = rows.select(F.col(key).alias("k"), F.col(value).alias("v"), own.alias("block"))
+    side = lambda n, others, lo, hi: every.select(F.col("k").alias(f"k{n}"), F.col("v").alias(f"v{n}"), "block", F.explode(others).alias("other")).select(f"k{n}", f"v{n}", F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    left = side(1, F.sequence("block", F.lit(blocks - 1).cast("long")), "block", "other")
+    right = side(2, F.sequence(F.lit(0).cast("long"), "block"), "other", "block")
+    met = left.join(right, ["lo", "hi"]).where((F.col("lo") < F.col("hi")) & (F.col("k1") != F.col("k2")) | (F.col("k1") < F.col("k2")))
+    swap = F.col("k1") > F.col("k2")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return met.select(pick("k1", "k2").alias("a"), pick("v1", "v2").alias("p"), pick("k2", "k1").alias("b"), pick("v2", "v1").alias("q"))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import nearest, per_shape
+from .order import all_pairs
 
 #: Eigenvalues up to this count as zero.
 ZERO = 1e-10
@@ -270,14 +271,12 @@ def shapedna_distance(dna: DataFrame, metric: str = "euclidean", inverse: DataFr
 
     cosine is 1 less the cosine, and 1 where a norm vanishes; mahalanobis
     takes ``inverse``, entries (i, j, w) of the inverse covariance.  A shape
-    is one row here, so the pairs join rows and no key is hot.
+    is one row here, and pairs meet in blocks.
     """
     if metric not in ("euclidean", "cosine", "mahalanobis"):
         raise ValueError(f"unknown metric {metric}")
-    rows = dna.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("v"))
-    left, right = rows.select(F.col("shape_id").alias("a"), F.col("v").alias("p")), rows.select(F.col("shape_id").alias("b"), F.col("v").alias("q"))
     n = F.least(F.size("p"), F.size("q"))
-    pairs = left.join(right, F.col("a") < F.col("b")).select("a", "b", F.slice("p", F.lit(1), n).alias("p"), F.slice("q", F.lit(1), n).alias("q"))
+    pairs = all_pairs(_as_rows(dna), "shape_id", "v").select("a", "b", F.slice("p", F.lit(1), n).alias("p"), F.slice("q", F.lit(1), n).alias("q"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
     d = F.zip_with("p", "q", lambda s, t: s - t)
     if metric == "euclidean":
@@ -323,13 +322,19 @@ def shapedna(values: DataFrame, normalize: str = "area") -> DataFrame:
     raise ValueError(f"unknown normalisation {normalize}")
 
 
+def _as_rows(dna: DataFrame) -> DataFrame:
+    """(shape_id, v): the values of each shape as one array in order of k."""
+    return dna.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]).alias("v"))
+
+
 def wesd(dna: DataFrame, p: float = 2.0, normalize: bool = True) -> DataFrame:
-    """Weighted spectral distance (a, b, distance) of all pairs a < b of shapes (shape_id, k, value), over their common length."""
-    other = dna.select(F.col("shape_id").alias("b"), "k", F.col("value").alias("w"))
-    pairs = dna.select(F.col("shape_id").alias("a"), "k", "value").join(other, "k").where("a < b")
-    term = F.pow(F.abs(F.col("value") - F.col("w")) / F.greatest(F.col("value") * F.col("w"), F.lit(1e-20)), F.lit(p))
-    x = F.pow(F.sum(term), F.lit(1 / p))
-    out = pairs.groupBy("a", "b").agg(x.alias("distance"))
+    """Weighted spectral distance (a, b, distance) of all pairs a < b of shapes (shape_id, k, value), over the k that both have; pairs without one are left out."""
+    rows = dna.groupBy("shape_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "value")))).alias("v"))
+    pairs = all_pairs(rows.select("shape_id", F.map_entries("v").alias("v")), "shape_id", "v")
+    common = F.filter(F.transform("p", lambda x: F.struct(x["value"].alias("x"), F.get(F.filter("q", lambda y: y["key"] == x["key"]), F.lit(0))["value"].alias("y"))), lambda e: e["y"].isNotNull())
+    term = lambda e: F.pow(F.abs(e["x"] - e["y"]) / F.greatest(e["x"] * e["y"], F.lit(1e-20)), F.lit(p))
+    total = F.pow(F.aggregate("c", F.lit(0.0), lambda s, e: s + term(e)), F.lit(1 / p))
+    out = pairs.withColumn("c", common).where(F.size("c") > 0).select("a", "b", total.alias("distance"))
     return out.withColumn("distance", F.col("distance") / (1 + F.col("distance"))) if normalize else out
 
 

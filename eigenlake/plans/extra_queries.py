@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from eigenlake.functions import atlas
-from eigenlake.operators import cluster, cohort, compare, density, eigen, geometry, hulls, inference, learn, network, order, parcels, resample, spectral
-from eigenlake.plans.queries import DNA, EIG, MAPS, MESH, PTS, TIMES, _dna, _landmarks, _scores, _sites, eigenpairs, maps, points, query, rounded, table, terrain, trade
+from eigenlake.operators import bayes, cluster, compare, density, eigen, figures, geometry, hulls, inference, learn, order, parcels, resample, signals, spectral
+from eigenlake.plans.queries import DNA, EIG, MAPS, MESH, PTS, TIMES, _dna, _landmarks, _scores, eigenpairs, maps, points, query, rounded, table, terrain, trade
 from eigenlake.plans.shape_queries import MEAN, ORACLES, QUERIES, _means, _rows, _users
 from eigenlake.sources import formats, group
 
@@ -374,3 +372,212 @@ def schaefer_to_yeo(spark, sf_dir):
 @query("SELECT unnest(['aal3', 'aparc', 'brainnetome', 'desikan', 'destrieux', 'dkt', 'glasser', 'harvard_oxford', 'hcp', 'julich', 'mmp', 'schaefer', 'schaefer_100', 'schaefer_1000', 'schaefer_200', 'schaefer_400', 'schaefer_600', 'schaefer_800']) AS name")
 def list_atlases(spark, sf_dir):
     return atlas.atlases(spark).select("name")
+
+
+# ---- figures
+
+
+def _prices(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_retailprice").cast("double").alias("x"))
+
+
+@query("""WITH e AS (SELECT p_brand AS brand, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1), b AS (SELECT p_brand AS brand, lo, (hi - lo) / 10 AS w, least(floor((p_retailprice - lo) / ((hi - lo) / 10)), 9)::INT AS bin FROM part JOIN e ON brand = p_brand WHERE hi > lo),
+ c AS (SELECT brand, bin, lo, w, count(*) AS n FROM b GROUP BY ALL) SELECT brand, bin, round(lo + bin * w, 6) + 0.0 AS "left", n, round(n / sum(n) OVER (PARTITION BY brand) / w, 9) + 0.0 AS density FROM c""")
+def figure_histogram(spark, sf_dir):
+    wide = _prices(spark, sf_dir).join(_prices(spark, sf_dir).groupBy("brand").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b").select("brand"), "brand")
+    return rounded(rounded(figures.histogram(wide, "x", 10, None, None, "brand"), "left"), "density", digits=9)
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS g, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS h FROM orders GROUP BY 1),
+ x AS (SELECT g, i, lo - 3 * h + i * (hi - lo + 6 * h) / 19 AS x, n, h FROM s, range(0, 20) r(i))
+ SELECT x.g, i::INT AS i, round(x, 4) + 0.0 AS x, round(sum(exp(-pow((x - o_totalprice) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 12) + 0.0 AS density FROM x JOIN orders ON o_orderpriority = x.g GROUP BY x.g, i, x""")
+def figure_density(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("v"))
+    return rounded(rounded(figures.density(rows, "v", 20, None, "g"), "x", digits=4), "density", digits=12)
+
+
+@query("WITH s AS (SELECT s_suppkey AS id, abs(s_acctbal) / 20000 AS p, s_acctbal / 5000 AS d FROM supplier) SELECT id, round(-log10(greatest(p, 1e-300)), 6) + 0.0 AS height, p < 0.2 AND abs(d) > 0.3 AS marked FROM s")
+def figure_volcano(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.abs("s_acctbal") / 20000).alias("p"), (F.col("s_acctbal") / 5000).alias("d"))
+    return rounded(figures.volcano(s, "d", "p", 0.2, 0.3).select("id", "height", "marked"), "height")
+
+
+SCORED = "WITH s AS (SELECT toxic AS y, n_chars::DOUBLE AS s FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+def _scored(spark, sf_dir):
+    return _scores(spark, sf_dir).select("y", F.col("s_a").alias("s"))
+
+
+@query(f"{SCORED}, t AS (SELECT DISTINCT s FROM s) SELECT t.s AS threshold, round((count(*) FILTER (y = 0 AND s.s >= t.s)) / (count(*) FILTER (y = 0)), 9) + 0.0 AS fpr, round((count(*) FILTER (y = 1 AND s.s >= t.s)) / (count(*) FILTER (y = 1)), 9) + 0.0 AS tpr FROM s, t GROUP BY t.s")
+def figure_roc(spark, sf_dir):
+    return rounded(figures.roc_curve(_scored(spark, sf_dir)), "fpr", "tpr", digits=9)
+
+
+@query(f"{SCORED} SELECT round(avg(CASE WHEN a.s > b.s THEN 1 WHEN a.s = b.s THEN 0.5 ELSE 0 END), 9) + 0.0 AS auc FROM s a JOIN s b ON a.y = 1 AND b.y = 0")
+def figure_auc(spark, sf_dir):
+    return rounded(figures.area_under(_scored(spark, sf_dir)), "auc", digits=9)
+
+
+@query(f"{MEAN} SELECT a.label::BIGINT AS i, b.label::BIGINT AS j, round(sqrt(sum(pow(a.c - b.c, 2))), 6) + 0.0 AS value FROM c a JOIN c b ON a.k = b.k GROUP BY ALL")
+def figure_matrix(spark, sf_dir):
+    return rounded(figures.full_matrix(compare.connectome(_parcels(spark, sf_dir), "euclidean")), "value")
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, count(*) FILTER (abs(p_retailprice - 1200) > 200) AS beyond, round(avg((abs(p_retailprice - 1200) > 200)::INT), 6) + 0.0 AS share FROM part GROUP BY 1")
+def figure_share_beyond(spark, sf_dir):
+    return rounded(figures.share_beyond(_prices(spark, sf_dir).select("brand", (F.col("x") - 1200).alias("d")), "d", 200, "brand"), "share")
+
+
+@query("SELECT l_orderkey, l_linenumber, 'left' AS side, l_discount::DOUBLE AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'right', l_tax::DOUBLE FROM lineitem")
+def figure_sides(spark, sf_dir):
+    return figures.sides(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("left"), F.col("l_tax").alias("right")))
+
+
+@query("""WITH v AS (SELECT event_type AS t, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+ w AS (SELECT a.t, a.v AS lo, b.v AS hi FROM v a JOIN v b ON a.t = b.t AND b.i = a.i + greatest(ceil(a.n * 0.9)::INT - 1, 0)), m AS (SELECT t, avg(v) AS mean, count(*) AS n FROM v GROUP BY 1), b AS (SELECT t, min((hi - lo, lo, hi)) AS b FROM w GROUP BY 1)
+ SELECT t, round(mean, 6) + 0.0 AS mean, b[2] AS low, b[3] AS high, n FROM m JOIN b USING (t)""")
+def figure_intervals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("t"), "value")
+    return rounded(figures.intervals(e, "value", 0.9, "t"), "mean")
+
+
+@query("SELECT event_type AS t, round(avg((value < 20)::INT), 6) + 0.0 AS below, round(avg((value BETWEEN 20 AND 60)::INT), 6) + 0.0 AS inside, round(avg((value > 60)::INT), 6) + 0.0 AS above FROM events WHERE value IS NOT NULL GROUP BY 1")
+def figure_decision(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value is not null").select(F.col("event_type").alias("t"), "value")
+    return rounded(figures.decision(e, "value", 20.0, 60.0, "t"), "below", "inside", "above")
+
+
+@query("SELECT s_suppkey AS vid, CASE WHEN abs(s_acctbal / 4000) > 1 THEN round(s_acctbal / 4000, 6) + 0.0 END AS shown FROM supplier")
+def figure_masked(spark, sf_dir):
+    z = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("vid"), (F.col("s_acctbal") / 4000).alias("z"))
+    return rounded(figures.masked(z, "z", 1.0).select("vid", "shown"), "shown")
+
+
+@query(f"{PARCELS} SELECT u, e.v FROM e JOIN lb a ON a.vid = u JOIN lb b ON b.vid = e.v WHERE a.label <> b.label")
+def figure_boundaries(spark, sf_dir):
+    return figures.boundaries(_vertex_labels(spark, sf_dir), geometry.edges(terrain(spark, sf_dir)[1])).select("u", "v")
+
+
+@query("WITH s AS (SELECT label AS shape_id, k - 1 AS component, sum(abs(embedding[k]::DOUBLE)) AS total FROM embeddings, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL) SELECT shape_id, component::INT AS component, round(total, 6) + 0.0 AS total FROM s QUALIFY row_number() OVER (PARTITION BY shape_id ORDER BY total DESC, component) <= 4")
+def figure_leading(spark, sf_dir):
+    w = _rows(spark, sf_dir).select(F.col("label").alias("shape_id"), "vid", F.transform("f", F.abs).alias("weights"))
+    return rounded(figures.leading(w), "total")
+
+
+@query(f"{PARCELS}, c AS (SELECT *, avg(x) OVER s AS x0, avg(y) OVER s AS y0, avg(z) OVER s AS z0, avg(x) OVER l AS x1, avg(y) OVER l AS y1, avg(z) OVER l AS z1 FROM lb WINDOW s AS (PARTITION BY shape_id), l AS (PARTITION BY shape_id, label)) SELECT vid, label, round(x + (x1 - x0) / 2, 6) + 0.0 AS x, round(y + (y1 - y0) / 2, 6) + 0.0 AS y, round(z + (z1 - z0) / 2, 6) + 0.0 AS z FROM c")
+def figure_exploded(spark, sf_dir):
+    return rounded(figures.exploded(terrain(spark, sf_dir)[0], _vertex_labels(spark, sf_dir)).drop("shape_id"), "x", "y", "z")
+
+
+@query(f"WITH {PAIRS} SELECT label, (k - 1)::INT AS t, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x) / sqrt(count(*)), 6) + 0.0 AS sem, count(*) AS n FROM x GROUP BY ALL")
+def figure_profiles(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    return rounded(figures.profiles(r.select("shape_id", "vid", "f"), r.select("shape_id", "vid", "label")), "mean", "sem")
+
+
+@query("SELECT label - 1 AS label, count(*) AS n, label - 1 = -1 AS noise FROM embeddings GROUP BY 1")
+def figure_sizes(spark, sf_dir):
+    return figures.sizes(_rows(spark, sf_dir).select("vid", (F.col("label") - 1).alias("label")))
+
+
+@query("""WITH l AS (SELECT 'm1' AS method, vec_id AS vid, label FROM embeddings UNION ALL SELECT 'm2', vec_id, (embedding[1] > 0)::INT FROM embeddings UNION ALL SELECT 'm3', vec_id, (label // 2)::INT FROM embeddings),
+ c AS (SELECT x.method AS a, y.method AS b, x.label AS la, y.label AS lb, count(*)::DOUBLE AS n FROM l x JOIN l y ON x.vid = y.vid AND x.method < y.method GROUP BY ALL),
+ p AS (SELECT a, b, sum(m * (m - 1) / 2) AS pa FROM (SELECT a, b, la, sum(n) AS m FROM c GROUP BY ALL) GROUP BY ALL), q AS (SELECT a, b, sum(m * (m - 1) / 2) AS pb FROM (SELECT a, b, lb, sum(n) AS m FROM c GROUP BY ALL) GROUP BY ALL),
+ t AS (SELECT a, b, sum(n * (n - 1) / 2) AS ab, sum(n) AS n FROM c GROUP BY ALL)
+ SELECT a, b, round((ab - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 6) + 0.0 AS ari FROM t JOIN p USING (a, b) JOIN q USING (a, b)""")
+def figure_agreement(spark, sf_dir):
+    r = _rows(spark, sf_dir)
+    one = lambda name, c: r.select(F.lit(name).alias("method"), "vid", c.cast("int").alias("label"))
+    return rounded(figures.agreement(one("m1", F.col("label")).unionByName(one("m2", F.get("f", F.lit(0)) > 0)).unionByName(one("m3", F.floor(F.col("label") / 2)))), "ari")
+
+
+@query(f"{MESH}, hv AS (SELECT v.shape_id, vid, least(floor((x - lo) / (hi - lo) * 5), 4)::INT AS bin FROM v JOIN (SELECT shape_id, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1) USING (shape_id)) SELECT shape_id, bin, (k - 1)::INT AS t, round(avg(embedding[k]::DOUBLE), 6) + 0.0 AS mean, count(*) AS n FROM hv JOIN embeddings ON vec_id = vid, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL")
+def figure_hovmoller(spark, sf_dir):
+    v, _ = terrain(spark, sf_dir)
+    fields = _rows(spark, sf_dir).select(F.floor(F.col("vid") / 512).alias("shape_id"), "vid", F.posexplode("f").alias("t", "value"))
+    return rounded(figures.hovmoller(v, fields, "x", 5), "mean")
+
+
+@query("SELECT vec_id AS vid, round(embedding[1]::DOUBLE - embedding[2]::DOUBLE, 6) + 0.0 AS value FROM embeddings")
+def figure_difference(spark, sf_dir):
+    at = lambda n: _rows(spark, sf_dir).select("shape_id", "vid", F.get("f", F.lit(n)).alias("value"))
+    return rounded(figures.difference(at(0), at(1)).select("vid", "value"), "value")
+
+
+@query()
+def figure_kymograph(spark, sf_dir):
+    v, f = terrain(spark, sf_dir)
+    return figures.along_line(v.select("shape_id", "vid", "x", "y", F.col("z").alias("value")), f, (0.0, 0.0), (15.0, 15.0), 20)
+
+
+@query("WITH l AS (SELECT user_id AS obs, event_id AS draw, -abs(value) / 100 AS ll FROM events), t AS (SELECT obs, max(ll) AS top, var_samp(ll) AS v FROM l GROUP BY 1 HAVING count(*) > 1), m AS (SELECT obs, top + ln(avg(exp(ll - top))) AS e, any_value(v) AS v FROM l JOIN t USING (obs) GROUP BY obs, top) SELECT round(sum(e) - sum(v), 6) + 0.0 AS elpd, round(sum(v), 6) + 0.0 AS p_waic, round(-2 * (sum(e) - sum(v)), 6) + 0.0 AS waic, count(*) AS n FROM m")
+def bayes_waic(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("obs"), F.col("event_id").alias("draw"), (-F.abs("value") / 100).alias("ll"))
+    more = e.groupBy("obs").agg(F.count("*").alias("n")).where("n > 1").select("obs")
+    return rounded(bayes.waic(e.join(more, "obs")), "elpd", "p_waic", "waic")
+
+
+@query()
+def bayes_connectome(spark, sf_dir):
+    edges, _ = resample.connectome_example(spark, 12, 8, 2)
+    return bayes.effects(bayes.edge_differences(edges.withColumn("grp", F.col("grp").cast("string")), "0", "1", 200, 100, 2), "diff_")
+
+
+@query()
+def bayes_spatial(spark, sf_dir):
+    e = spark.range(1, 31).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    return bayes.effects(bayes.spatial_effect(_users(spark, sf_dir), e, "a", "b", draws=100, tune=50, chains=2))
+
+
+# ---- signals on graphs
+
+
+def _on_mesh(spark, sf_dir):
+    v, f = terrain(spark, sf_dir)
+    d = _rows(spark, sf_dir).select("vid", F.transform("f", F.abs).alias("f")).join(v.select("shape_id", "vid"), "vid")
+    return d.select("shape_id", "vid", "f"), geometry.edges(f)
+
+
+@query()
+def denoise_joint(spark, sf_dir):
+    return signals.denoise_joint(*_on_mesh(spark, sf_dir))
+
+
+@query()
+def cluster_joint_spectral(spark, sf_dir):
+    return signals.cluster_bands(*_on_mesh(spark, sf_dir))
+
+
+@query()
+def cluster_wavelet_coefficients(spark, sf_dir):
+    return signals.cluster_wavelets(*_on_mesh(spark, sf_dir))
+
+
+@query()
+def cluster_multiview(spark, sf_dir):
+    return signals.cluster_views(*_on_mesh(spark, sf_dir))
+
+
+@query()
+def auto_cluster(spark, sf_dir):
+    return signals.auto_cluster(*_on_mesh(spark, sf_dir), {"bands": "bands", "wavelets": "wavelets", "gnmf": lambda d, e: cluster.gnmf(d, e, 3)})
+
+
+@query()
+def fuse_joint_nmf(spark, sf_dir):
+    d, _ = _on_mesh(spark, sf_dir)
+    return signals.joint_factors(d, d.withColumn("f", F.transform("f", lambda x: x * x)), 4, 50)
+
+
+@query()
+def tensor_decomposition(spark, sf_dir):
+    m = _users(spark, sf_dir).select(F.lit("t").alias("shape_id"), "subject", F.floor((F.col("vid") - 1) / 8).cast("long").alias("vid"), (F.col("vid") - 1).alias("day"), "value")
+    rows = m.groupBy("shape_id", "subject", "vid").agg(F.transform(F.sort_array(F.collect_list(F.struct("day", "value"))), lambda s: s["value"]).alias("f")).where("size(f) = 8")
+    return signals.tensor_factors(rows, 3, 50)
+
+
+@query()
+def cluster_vineyards(spark, sf_dir):
+    d, e = _on_mesh(spark, sf_dir)
+    return signals.vines(d.select("shape_id", "vid", F.posexplode("f").alias("t", "value")), e)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eigenlake.operators import bayes, cloud, cluster, eigen, geometry, harmonise, inference, resample, spectral
-from eigenlake.plans.queries import EIG, MESH, ORACLES, PTS, QUERIES, eigenpairs, maps, points, query, rounded, table, terrain, trade
+from eigenlake.plans.queries import EIG, MAPS, MESH, ORACLES, PTS, QUERIES, eigenpairs, maps, points, query, rounded, table, terrain, trade
 from eigenlake.sources import formats
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -171,6 +171,11 @@ def _rows(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.lit("e").alias("shape_id"), F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("f"), "label")
 
 
+def _patches(spark, sf_dir):
+    """The same in shapes of 512 vectors, so that a task's distances are bounded."""
+    return _rows(spark, sf_dir).withColumn("shape_id", F.floor(F.col("vid") / 512))
+
+
 def _means(spark, sf_dir):
     at = _rows(spark, sf_dir).select("label", F.posexplode("f").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("x"))
     return at.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("c"))
@@ -239,9 +244,14 @@ def cluster_quality(spark, sf_dir):
     return rounded(cluster.quality(_rows(spark, sf_dir)).drop("shape_id"), "calinski_harabasz", "davies_bouldin")
 
 
-@query()
+PATCHES = "WITH x AS (SELECT vec_id // 512 AS shape_id, vec_id AS vid, label, embedding::DOUBLE[] AS f FROM embeddings), p AS (SELECT a.shape_id, a.vid AS u, b.vid AS v, a.label AS lu, b.label AS lv, list_distance(a.f, b.f) AS d FROM x a JOIN x b ON a.shape_id = b.shape_id)"
+
+
+@query(f"""{PATCHES}, n AS (SELECT shape_id, label, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT shape_id, u, lu, lv, sum(d) AS d FROM p GROUP BY ALL),
+ s AS (SELECT m.shape_id, u, max(m.d / greatest(n - 1, 1)) FILTER (lu = lv) AS a, min(m.d / n) FILTER (lu <> lv) AS b, max(n) FILTER (lu = lv) AS own FROM m JOIN n ON n.shape_id = m.shape_id AND n.label = lv GROUP BY ALL)
+ SELECT shape_id, round(avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) + 0.0 AS silhouette FROM s GROUP BY 1""")
 def silhouette(spark, sf_dir):
-    return cluster.silhouette(_rows(spark, sf_dir))
+    return rounded(cluster.silhouette(_patches(spark, sf_dir)), "silhouette")
 
 
 @query("""WITH b AS (SELECT label AS a, (embedding[1] > 0)::INT + 2 * (embedding[2] > 0)::INT AS b FROM embeddings), c AS (SELECT a, b, count(*)::DOUBLE AS n FROM b GROUP BY ALL),
@@ -262,12 +272,16 @@ def cluster_kmeans(spark, sf_dir):
 
 @query()
 def cluster_spectral(spark, sf_dir):
-    return cluster.spectral_clusters(_rows(spark, sf_dir), 6)
+    return cluster.spectral_clusters(_patches(spark, sf_dir), 6)
 
 
-@query()
+@query(f"""{PATCHES.replace('WITH x', 'WITH RECURSIVE x', 1)}, near AS (SELECT shape_id, u, v FROM p WHERE d <= 1.2), core AS (SELECT u FROM near GROUP BY u HAVING count(*) >= 5),
+ r AS (SELECT u AS vid, u AS root FROM core UNION SELECT near.v, r.root FROM r JOIN near ON near.u = r.vid WHERE near.v IN (FROM core)),
+ c AS (SELECT vid, min(root) AS root FROM r GROUP BY 1),
+ e AS (SELECT x.shape_id, x.vid, coalesce(c.root, (SELECT min(q.root) FROM near JOIN c q ON q.vid = near.v WHERE near.u = x.vid)) AS root FROM x LEFT JOIN c USING (vid))
+ SELECT shape_id, vid, CASE WHEN root IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY shape_id ORDER BY root NULLS LAST) - 1 END::INT AS label FROM e""")
 def cluster_dbscan(spark, sf_dir):
-    return cluster.dbscan(_rows(spark, sf_dir))
+    return cluster.dbscan(_patches(spark, sf_dir), 1.2, 5)
 
 
 @query()
@@ -313,20 +327,37 @@ def cluster_scalespace_blobs(spark, sf_dir):
 
 @query()
 def cluster_mapper(spark, sf_dir):
-    return cluster.mapper(_rows(spark, sf_dir), eps=1.2)[0]
+    return cluster.mapper(_patches(spark, sf_dir), eps=1.2)[0]
 
 
 # ---- cohorts
 
 
-@query()
+#: Tails by Simpson's rule over 2000 steps, and their Benjamini-Hochberg correction.
+TAILS = """simpson AS (SELECT i / 2000.0::DOUBLE AS share, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 6000.0::DOUBLE AS weight FROM range(0, 2001) r(i)),
+ corrected AS (SELECT *, least(min(p * n / k) OVER (ORDER BY p DESC, vid DESC ROWS UNBOUNDED PRECEDING), 1) AS p_corrected FROM (SELECT *, row_number() OVER (ORDER BY p, vid) AS k, count(*) OVER () AS n FROM tails))"""
+_STUDENT = "t AS (SELECT vid, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM d), tails AS (SELECT vid, t, greatest(1 - 2 * any_value(exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi())) * abs(t) * sum(weight * pow(1 + pow(share * t, 2) / df, -(df + 1) / 2)), 0) AS p FROM t, simpson GROUP BY vid, t)"
+_RANKSUM = """r AS (SELECT vid, grp, value, rank() OVER (PARTITION BY vid ORDER BY value) + (count(*) OVER (PARTITION BY vid, value) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY vid, value) AS c FROM maps),
+ u AS (SELECT vid, sum(r) FILTER (grp = 'A') - count(*) FILTER (grp = 'A') * (count(*) FILTER (grp = 'A') + 1) / 2.0::DOUBLE AS u, count(*) FILTER (grp = 'A')::DOUBLE AS na, count(*) FILTER (grp = 'R')::DOUBLE AS nb, sum(c::DOUBLE * c - 1) AS ties FROM r GROUP BY 1),
+ z AS (SELECT vid, u, greatest(abs(u - na * nb / 2) - 0.5, 0) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) AS z FROM u),
+ tails AS (SELECT vid, u, z, greatest(1 - 2 / sqrt(2 * pi()) * z * sum(weight * exp(-pow(share * z, 2) / 2)), 0) AS p FROM z, simpson GROUP BY vid, u, z)"""
+
+
+def _with_tails(cte):
+    simpson, _, corrected = TAILS.partition(",\n corrected")
+    return f"{MAPS}, {simpson}, {cte},\n corrected{corrected}"
+
+
+@query(f"{_with_tails(_STUDENT)} SELECT vid, round(t, 6) + 0.0 AS t, round(p, 5) + 0.0 AS p, round(p_corrected, 5) + 0.0 AS p_corrected, p_corrected < 0.05 AS significant FROM corrected")
 def vertexwise_ttest(spark, sf_dir):
-    return inference.vertexwise_ttest(maps(spark, sf_dir), "A", "R")
+    out = inference.vertexwise_ttest(maps(spark, sf_dir), "A", "R").select("vid", "t", "p", "p_corrected", "significant")
+    return rounded(rounded(out, "t"), "p", "p_corrected", digits=5)
 
 
-@query()
+@query(f"{_with_tails(_RANKSUM)} SELECT vid, round(u, 3) + 0.0 AS u, round(z, 6) + 0.0 AS z, round(p, 5) + 0.0 AS p, round(p_corrected, 5) + 0.0 AS p_corrected, p_corrected < 0.05 AS significant FROM corrected")
 def vertexwise_mannwhitney(spark, sf_dir):
-    return inference.vertexwise_mannwhitney(maps(spark, sf_dir), "A", "R")
+    out = inference.vertexwise_mannwhitney(maps(spark, sf_dir), "A", "R").select("vid", "u", "z", "p", "p_corrected", "significant")
+    return rounded(rounded(rounded(out, "z"), "u", digits=3), "p", "p_corrected", digits=5)
 
 
 def _users(spark, sf_dir):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenlake.functions.names import geometry_format
+from eigenlake.operators.order import quantiles
 
 #: What a file holds: points and faces, named columns a point, or a volume with its affine.
 SCHEMA = "path string, format string, points array<double>, faces array<long>, fields map<string, array<double>>, names array<string>, shape array<int>, affine array<double>, error string"
@@ -463,8 +464,10 @@ def extract_submesh(vertices_: DataFrame, faces_: DataFrame, mask: DataFrame) ->
 def aggregate_by_parcel(values: DataFrame, labels: DataFrame) -> DataFrame:
     """(shape_id, label, n, mean, median, std, min, max, sum, iqr) of values (shape_id, vid, value) by labels (shape_id, vid, label); NaN is left out, population deviation."""
     v = values.where(~F.isnan("value")).join(labels, ["shape_id", "vid"])
-    x = F.col("value")
-    return v.groupBy("shape_id", "label").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"))
+    x, key = F.col("value"), ["shape_id", "label"]
+    parts = quantiles(v, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, *key)
+    sums = v.groupBy(*key).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"))
+    return sums.join(parts, key, "left").select(*key, "n", "mean", "median", "std", "min", "max", "sum", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def remap_parcels(names: DataFrame, mapping: dict[str, str], match: str = "exact", unmapped: str = "unmapped") -> DataFrame:
