@@ -24,7 +24,7 @@ def histogram(rows: DataFrame, value: str, bins: int = 50, low: float | None = N
     ends = ends.withColumn("hi", F.lit(float(high))) if high is not None else ends
     width = (F.col("hi") - F.col("lo")) / bins
     at = _joined(x, ends, list(by)).where("x between lo and hi")
-    place = F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)), F.lit(0)).cast("int")
+    place = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
     counts = at.groupBy(*by, place.alias("bin"), "lo", width.alias("width")).agg(F.count("*").alias("n"))
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     return _joined(counts, total, list(by)).select(*by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("left"), "n", (F.col("n") / F.col("total") / F.nullif("width", F.lit(0.0))).alias("density"))
@@ -162,7 +162,7 @@ def agreement(labels: DataFrame) -> DataFrame:
 def hovmoller(points: DataFrame, fields: DataFrame, axis: str = "x", bins: int = 100) -> DataFrame:
     """(shape_id, bin, t, mean, n): a field (shape_id, vid, t, value) averaged in equal bins along an axis, the last bin closed."""
     ends = points.groupBy("shape_id").agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"))
-    place = F.coalesce(F.least(F.floor((F.col(axis) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(axis) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
     at = points.join(ends, "shape_id").select("shape_id", "vid", place.alias("bin"))
     return at.join(fields, ["shape_id", "vid"]).groupBy("shape_id", "bin", "t").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 

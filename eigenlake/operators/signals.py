@@ -162,8 +162,10 @@ def tensor_factors(tensor: DataFrame, components: int = 8, steps: int = 200, tol
                 pull, gram = np.einsum(path, x, p, q), (p.T @ p) * (q.T @ q)
                 for c in range(components):
                     a[m][:, c] = np.maximum(a[m][:, c] + (pull[:, c] - a[m] @ gram[:, c]) / max(gram[c, c], 1e-300), 0)
-                if m < 2:
-                    a[m] /= np.maximum(np.linalg.norm(a[m], axis=0), 1e-300)
+                if m < 2:  # the scales' factor has the size
+                    size = np.linalg.norm(a[m], axis=0)
+                    a[m] /= np.maximum(size, 1e-300)
+                    a[2] *= size
             cost = float(np.square(x - np.einsum("ic,jc,kc->ijk", *a)).sum())
             if np.isfinite(last) and last - cost <= tol * max(last, 1e-300):
                 break

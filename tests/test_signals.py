@@ -93,7 +93,7 @@ def test_intervals_and_curves(spark):
     assert {(r.bin, r.n) for r in h.where("parameter = 'a'").collect()} == {(0, 1), (1, 1), (2, 1), (3, 1)}
     assert figures.histogram(draws.where("value = 1"), "value").where("bin = 0 and n = 2").count() == 1
     s = spark.createDataFrame([(1, 0.9), (0, 0.9), (1, 0.5), (0, 0.1), (None, 0.3)], "y int, s double")
-    assert figures.area_under(s).first().auc == 0.875
+    assert figures.area_under(s).first().auc == 0.625
     assert {(r.threshold, r.fpr, r.tpr) for r in figures.roc_curve(s).collect()} == {(0.9, 0.5, 0.5), (0.5, 0.5, 1.0), (0.1, 1.0, 1.0)}
 
 
