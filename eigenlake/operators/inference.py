@@ -13,7 +13,7 @@ from eigenlake.functions.special import p_chi2, p_normal, p_student
 
 from . import cohort
 from .kernels import per_shape
-from .order import all_pairs, midranks
+from .order import all_pairs, midranks, small
 
 TINY = 1e-30
 #: Labellings that a task holds at once.
@@ -309,7 +309,7 @@ def equivalence_tost(metrics: DataFrame, margin: float = 0.05) -> DataFrame:
 def bag_of_words(descriptors: DataFrame, codebook: DataFrame, sigma: float | None = None) -> DataFrame:
     """(shape_id, word, share) of descriptors (shape_id, vid, f array) over a codebook (word, c array): the nearest word (the smaller of equals), or Gaussian weights for a sigma; shares of a shape sum to 1."""
     d2 = F.aggregate(F.zip_with("f", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    far = descriptors.crossJoin(F.broadcast(codebook)).withColumn("d2", d2)  # the codebook has some dozens of words
+    far = descriptors.crossJoin(small(codebook)).withColumn("d2", d2)  # the codebook has some dozens of words
     if sigma is None:
         hit = far.groupBy("shape_id", "vid").agg(F.min(F.struct("d2", "word")).alias("m")).select("shape_id", F.col("m.word").alias("word"), F.lit(1.0).alias("w"))
     else:

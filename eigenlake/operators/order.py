@@ -94,5 +94,10 @@ def all_pairs(rows: DataFrame, key: str, value: str, blocks: int = 16) -> DataFr
     return met.select(pick("k1", "k2").alias("a"), pick("v1", "v2").alias("p"), pick("k2", "k1").alias("b"), pick("v2", "v1").alias("q"))
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The table to be broadcast if it has at most this many rows, which are counted; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))

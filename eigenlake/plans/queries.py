@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eigenlake.functions import names
 from eigenlake.operators import cohort, distribution, geometry, network, spectral
+from eigenlake.operators.order import small
 
 QUERIES, ORACLES = {}, {}
 
@@ -104,7 +105,7 @@ for _kernel, _sql in (("mexican_hat", "y * exp(-y)"), ("heat", "exp(-y)"), ("ban
 def _landmarks(spark, sf_dir):
     """The first vertex of each label."""
     first = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("phi"))
-    return F.broadcast(first.select(F.lit("e").alias("shape_id"), F.col("label").alias("to"), F.col("phi").cast("array<double>").alias("phi_to")))
+    return small(first.select(F.lit("e").alias("shape_id"), F.col("label").alias("to"), F.col("phi").cast("array<double>").alias("phi_to")))
 
 
 def _distance(kind: str):
