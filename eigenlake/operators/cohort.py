@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import midranks, quantiles, running
+from .order import counted, midranks, quantiles, running
 
 TINY = 1e-30
 
@@ -29,10 +29,10 @@ def ttest(maps: DataFrame, a: str, b: str, pooled: bool = False) -> DataFrame:
 
 
 def mannwhitney(maps: DataFrame, a: str, b: str) -> DataFrame:
-    """(vid, u): the U statistic of group a, ties by midranks."""
-    ranked = midranks(maps.where(F.col("grp").isin(a, b)), "value", "r", "vid")
-    n, total = F.count(F.when(F.col("grp") == a, 1)), F.sum(F.when(F.col("grp") == a, F.col("r")))
-    return ranked.groupBy("vid").agg((total - n * (n + 1) / 2).alias("u"))
+    """(vid, u): the U statistic of group a, ties by midranks, from counts of each value; null without a row of group a."""
+    values = counted(maps.where(F.col("grp").isin(a, b)).select("vid", "grp", "value"), "value", ["vid"], n_a=F.count(F.when(F.col("grp") == a, 1)))
+    n, total = F.sum("n_a"), F.sum(F.col("n_a") * (F.col("upto") - (F.col("n") - 1) / 2))
+    return values.groupBy("vid").agg(F.when(n > 0, total - n * (n + 1) / 2).alias("u"))
 
 
 def kruskal(rows: DataFrame, group: str, value: str, *by: str) -> DataFrame:

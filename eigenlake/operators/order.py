@@ -10,35 +10,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS, STEP = 64, 8
+#: Accuracy of the approximate quantiles that bound buckets.
+ACCURACY = 1000
 
 
 def bucketed(distinct: DataFrame, value: str) -> DataFrame:
     """Rows with the column ``bucket``, which rises with the value."""
-    return _placed(distinct, value, [])
+    return _placed(distinct, distinct, value, [])
 
 
-def _placed(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Rows with the column ``bucket``: how many of the cuts, of the row's key, are below the value.
+def _placed(rows: DataFrame, source: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Rows with the column ``bucket``: how many of the cuts, of the row's key in ``source``, are below the value.
 
-    Every 16th cut is looked at first, then the 16 before the first of them
-    that isn't below.  A null value is in bucket 0.
+    Every ``STEP``-th cut is looked at first, then those before the first of
+    them that isn't below.  A null value is in bucket 0.
     """
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], 10_000).alias("cuts"))
-    cuts = cuts.withColumn("coarse", F.transform(F.sequence(F.lit(15), F.lit(BUCKETS - 2), F.lit(16)), lambda i: F.get("cuts", i)))
+    cuts = source.groupBy(*by).agg(F.percentile_approx(value, [i / BUCKETS for i in range(1, BUCKETS)], ACCURACY).alias("cuts"))
+    cuts = cuts.withColumn("coarse", F.transform(F.sequence(F.lit(STEP - 1), F.lit(BUCKETS - 2), F.lit(STEP)), lambda i: F.get("cuts", i)))
     below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(value)))
     joined = rows.join(cuts, by) if by else rows.crossJoin(F.broadcast(cuts))
     joined = joined.withColumn("coarse", below("coarse"))
-    return joined.withColumn("bucket", F.coalesce(F.col("coarse") * 16 + below(F.slice("cuts", F.col("coarse") * 16 + 1, F.lit(16))), F.lit(0))).drop("cuts", "coarse")
+    return joined.withColumn("bucket", F.coalesce(F.col("coarse") * STEP + below(F.slice("cuts", F.col("coarse") * STEP + 1, F.lit(STEP))), F.lit(0))).drop("cuts", "coarse")
 
 
-def _counted(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by..., value, n, bucket, upto, last): distinct values, how many rows have them, rows up to them, and rows of the key less one.
+def counted(rows: DataFrame, value: str, by: list[str], **more: Column) -> DataFrame:
+    """(by..., value, n, more..., bucket, upto, last): distinct values, how many rows have them, other aggregates of these rows, rows up to them, and rows of the key less one.
 
-    Values are counted first, so a value that very many rows have is one row.
+    Values are counted first, so a value that very many rows have is one row;
+    the average rank of a value is upto - (n - 1) / 2.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    placed = _placed(counts, value, by)
+    known = rows.where(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count("*").alias("n"), *(c.alias(n) for n, c in more.items()))
+    placed = _placed(counts, known, value, by)
     few = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
     totals = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("m"))
     totals = totals.select(*by, "bucket", F.coalesce(F.sum("m").over(few), F.lit(0)).alias("before"), (F.sum("m").over(Window.partitionBy(*by)) - 1).alias("last"))
@@ -48,7 +52,7 @@ def _counted(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def midranks(rows: DataFrame, value: str, out: str, *by: str) -> DataFrame:
     """Rows with the average rank of equal values among those of the same key ``by``, from 1; a null value or key gets null."""
-    ranks = _counted(rows.select(*by, F.col(value).alias("_v")), "_v", list(by)).select(*(F.col(c).alias(f"_{c}") for c in by), "_v", (F.col("upto") - (F.col("n") - 1) / 2).alias(out))
+    ranks = counted(rows.select(*by, F.col(value).alias("_v")), "_v", list(by)).select(*(F.col(c).alias(f"_{c}") for c in by), "_v", (F.col("upto") - (F.col("n") - 1) / 2).alias(out))
     return rows.join(ranks, [F.col(value) == F.col("_v"), *(F.col(c) == F.col(f"_{c}") for c in by)], "left").select(*rows.columns, out)
 
 
@@ -57,10 +61,10 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -
 
     A key whose values are all null has no row.
     """
-    counted = _counted(rows.select(*by, F.col(value).cast("double").alias("_v")), "_v", list(by))
+    values = counted(rows.select(*by, F.col(value).cast("double").alias("_v")), "_v", list(by))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("_v")))
     places = {n: F.col("last") * F.lit(q) for n, q in shares.items()}
-    return counted.groupBy(*by).agg(*((at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * F.max(p - F.floor(p))).alias(n) for n, p in places.items()))
+    return values.groupBy(*by).agg(*((at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * F.max(p - F.floor(p))).alias(n) for n, p in places.items()))
 
 
 def running(distinct: DataFrame, value: str, *sums: str) -> DataFrame:
