@@ -9,7 +9,7 @@ from .state import cut
 
 
 #: Edges beyond which a node is a hub, if that is more than the ``HUBS``-th part of all edge ends; so there are at most ``HUBS`` hubs.
-HUB, HUBS = 1000, 20_000
+HUB, HUBS = 100, 20_000
 
 
 def _lowest(rows: DataFrame, ends: int) -> DataFrame:

@@ -133,7 +133,7 @@ def test_recall_of_embeddings(spark):
     assert projections == 22 and tables > embeddings.settings(100)[0]
 
 
-@pytest.mark.parametrize("hub", [1000, 2])
+@pytest.mark.parametrize("hub", [100, 2])
 def test_components(spark, hub, monkeypatch):
     monkeypatch.setattr(graph, "HUB", hub)
     rng = random.Random(5)
