@@ -15,16 +15,25 @@ import base64
 import functools
 import gc
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Encoded pieces that a worker keeps at once, twice; it bounds its memory and changes no result.
-CACHE = 150_000
+CACHE = 200_000
 #: Longer pieces aren't kept.
 CACHE_CHARS = 200
+#: Bytes of text that are digested at once; a longer single text is digested by itself.
+AT_ONCE = 1 << 22
+#: Patterns of which no match holds a space after another character that isn't white space, and one starts at every space between two such characters.
+APART = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+#: A word and marks after it, two matches (or one) of these patterns.
+_PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)").fullmatch
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,6 +80,7 @@ class Encoder:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self.split = regex.compile(_unicode_space(pattern)).findall
         self.automaton = ahocorasick.Automaton()
@@ -80,6 +90,7 @@ class Encoder:
         self.shorter: dict[int, int] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pieces = _Kept(self.encode_match)
+        self.apart_at_space = pattern in APART
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge made this one (of two bytes at least)."""
@@ -148,27 +159,30 @@ class Encoder:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        size, tokens, text = len(data), self.tokens, data.decode("latin-1")
+        size, sizes, text, pairs = len(data), self.sizes, data.decode("latin-1"), self.pairs
         closed = bytearray(size + 1)
         out: list[int] = []
-        at, token = 0, self.longest_at(data, text, 0)
+        at, last, token = 0, -1, self.longest_at(data, text, 0)
         while at < size:
-            last = out[-1] if out else -1
             while token >= 0:
-                to = at + len(tokens[token])
-                if not closed[to] and (last < 0 or self.compatible(last, token)):
-                    break
+                to = at + sizes[token]
+                if not closed[to]:
+                    if last < 0:
+                        break
+                    stands = pairs.get((last, token))
+                    if self.compatible(last, token) if stands is None else stands:
+                        break
                 token = self.next_shorter(token)
             if token >= 0:
                 out.append(token)
-                at = to
+                at, last = to, token
                 token = self.longest_at(data, text, at) if at < size else -1
             else:
                 if not out:
                     raise ValueError("the vocabulary's ranks aren't those of byte-pair merges")
                 closed[at] = 1
                 token = out.pop()
-                at -= len(tokens[token])
+                at, last = at - sizes[token], out[-1] if out else -1
                 token = self.next_shorter(token)
         return out
 
@@ -189,14 +203,60 @@ class Encoder:
         kept = self.pieces
         return sum([kept[x][1] for x in self.split(text)])
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids in decimal joined by commas, and of the decoded bytes.
+    def encode_unit(self, text: str) -> tuple[str, int, bytes]:
+        """The same of a text; matches of the pattern recur, so most are looked up."""
+        plain = self.apart_at_space and _PLAIN(text)
+        if plain:
+            word, marks = plain.groups()
+            if not marks:
+                return self.pieces[word]
+            found = [self.pieces[word], self.pieces[marks]]
+        else:
+            found = [self.pieces[x] for x in self.split(text)]
+        return ",".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])
 
-        Matches of the pattern recur, so most are looked up.
+    def _units(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct units, the unit at each place, and the first place of each text and a last entry.
+
+        A text is cut before each space between two characters that aren't
+        white space, where a match of the pattern starts whatever is around.
+        Other spaces stay inside a unit.
         """
-        kept = self.pieces
-        found = [kept[x] for x in self.split(text)]
-        return sum([x[1] for x in found]), hashlib.sha256(",".join([x[0] for x in found]).encode()).hexdigest(), hashlib.sha256(b"".join([x[2] for x in found])).hexdigest()
+        if not self.apart_at_space:
+            return texts.to_pylist(), np.arange(len(texts)), np.arange(len(texts) + 1)
+        split = pc.split_pattern(texts, " ")
+        bound, words = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+        code, known = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary.to_pylist()
+        opens = np.array([x != "" and not x[0].isspace() for x in known], bool)
+        closes = np.array([x != "" and not x[-1].isspace() for x in known], bool)
+        starts = np.ones(len(code), bool)
+        starts[1:] = opens[code[1:]] & closes[code[:-1]]
+        starts[bound[:-1]] = True
+        place = np.flatnonzero(starts)
+        last = np.append(place[1:], len(code))
+        unit, first = code[place], np.zeros(len(code), bool)
+        first[bound[:-1]] = True
+        units, more = [" " + x for x in known], {}
+        for i in np.flatnonzero(first[place] | (last - place > 1)).tolist():
+            lo, hi = place[i], last[i]
+            text = ("" if first[lo] else " ") + " ".join([known[c] for c in code[lo:hi].tolist()])
+            unit[i] = more.setdefault(text, len(known) + len(more))
+        return units + list(more), unit, np.searchsorted(place, bound)
+
+    def digests(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """For each text the number of ids, SHA-256 of the ids in decimal joined by commas, and of the decoded bytes; null counts as empty.
+
+        Units of the texts recur, so each is encoded once here.
+        """
+        units, unit, bound = self._units(pc.fill_null(texts, ""))
+        used, unit = np.unique(unit, return_inverse=True)
+        found = [self.encode_unit(units[i]) for i in used.tolist()]
+        n = np.cumsum(np.append(0, np.array([x[1] for x in found], np.int64)[unit]))
+        ids, data = pa.array([x[0] for x in found], pa.large_string()), pa.array([x[2] for x in found], pa.large_binary())
+        offsets, at = pa.array(bound, pa.int64()), pa.array(unit)
+        joined = (pc.binary_join(pa.LargeListArray.from_arrays(offsets, x.take(at)), y) for x, y in ((ids, pa.scalar(",", pa.large_string())), (data, pa.scalar(b"", pa.large_binary()))))
+        sha = (pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in column]) for column in joined)
+        return pa.array(np.diff(n[bound])), *sha
 
 
 #: The code points with the property White_Space.
@@ -268,10 +328,12 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
-                n, ids, data = zip(*(own.digest(x or "") for x in part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(data)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            size, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+            while at < len(b):
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + AT_ONCE, "right")))
+                part = b.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), *own.digests(part.column(1))], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at = to
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

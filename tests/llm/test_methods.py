@@ -293,3 +293,16 @@ def test_repeated_rows_and_clashing_names(spark):
     assert sums.agg(F.sum("n_docs")).first()[0] == 5
     vectors = spark.createDataFrame([(1, [1.0, 0.0], "k"), (1, [1.0, 0.0], "k"), (None, [1.0, 0.0], "k"), (2, None, "k")], "vec_id long, embedding array<double>, id string")
     assert sorted((r.vec_id or 0, r.n_links) for r in embeddings.near_duplicates(vectors).collect()) == [(0, 0), (1, 1), (1, 1), (2, 0)]
+
+
+def test_units_of_texts_are_digested_once_and_as_matches_alone():
+    own, draw = bpe.encoder(*queries.tokenizer()), random.Random(1)
+    some = [" ", "  ", "\n", "\t", "a", "Bc", "é", "1", ".", "'s", "'", "\x85", "\xa0", "　", "\x1c", "​", "中", "\r\n", ""]
+    texts = ["".join(draw.choice(some) for _ in range(draw.randrange(12))) for _ in range(3000)] + [None, "", " ", "one word, " * 500]
+    got = [x.to_pylist() for x in own.digests(pa.array(texts, pa.string()))]
+    want = [own.encode(x or "") for x in texts]
+    assert got[0] == [len(x) for x in want]
+    assert got[1] == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
+    assert got[2] == [hashlib.sha256((x or "").encode()).hexdigest() for x in texts]
+    units, unit, bound = own._units(pa.array(["one word, " * 500]))
+    assert len(unit) == bound[-1] == 1000 and len(units) < 10
