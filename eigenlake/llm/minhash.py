@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     new = cut(new)
     if not new.isEmpty():
         # each edge joins two known components by members of theirs
-        labels = components(edges.unionByName(new), "a", "b")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), "a", "b")
     classes = classes.join(labels, classes["rep"] == labels["node"], "left").select("s1", "s2", F.coalesce("root", "rep").alias("rep"))
     joined = sig.alias("d").join(cut(classes).alias("c"), [F.col(f"d.{c}") == F.col(f"c.{c}") for c in ("s1", "s2")] + [F.col("d.n") > 0, F.col("d.id").isNotNull()], "left")
     component = F.coalesce(F.col("c.rep"), F.col("d.id"))

@@ -306,3 +306,16 @@ def test_units_of_texts_are_digested_once_and_as_matches_alone():
     assert got[2] == [hashlib.sha256((x or "").encode()).hexdigest() for x in texts]
     units, unit, bound = own._units(pa.array(["one word, " * 500]))
     assert len(unit) == bound[-1] == 1000 and len(units) < 10
+
+
+def test_components_need_few_jobs(spark):
+    draw = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(0, 400)] + [(1000, int(x)) for x in range(1001, 1400)] + [(int(x), int(y)) for x, y in draw.integers(2000, 2600, (400, 2))] + [(5, 5)]
+    nodes, root = graph.roots(*(np.array(x) for x in zip(*pairs, strict=True)))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components", "")
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long").repartition(7), "a", "b").collect()}
+    jobs = len(tracker.getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {int(n): int(r) for n, r in zip(nodes, root, strict=True) if n != 5 or r != 5}
+    assert jobs < 90  # 188 when each round took two plans of the whole step
