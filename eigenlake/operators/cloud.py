@@ -199,9 +199,9 @@ def knn_laplacian(points: DataFrame, k: int = 30, kind: str = "gaussian") -> Dat
             e = max(other.mean() ** 2, 1e-12) if other.size else 1.0
             w = np.exp(-np.square(far) / (4 * e)) / (4 * np.pi * e)
         i, j, w = np.repeat(np.arange(n), at.shape[1]), at.ravel(), w.ravel() / 2
-        key = np.concatenate([i * n + j, j * n + i])
+        key = np.concatenate([i * n + j, j * n + i, np.arange(n) * (n + 1)])  # a point with k copies before it isn't its own neighbour, its diagonal has a degree all the same
         cell, inverse = np.unique(key, return_inverse=True)
-        weight = np.bincount(inverse, np.concatenate([w, w]), len(cell))
+        weight = np.bincount(inverse, np.concatenate([w, w, np.zeros(n)]), len(cell))
         i, j = cell // n, cell % n
         degree = np.bincount(i, weight, n)
         out = np.where(i == j, degree[i] - weight, -weight) / (1 if kind == "gaussian" else n)

@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry, spectral
-from .kernels import nearest, per_pair, per_shape, xyz
+from .kernels import blocks, nearest, per_pair, per_shape, xyz
 
 #: Vertices up to which the matrix is solved dense.
 DENSE = 1500
 
+#: Vertices up to which the coarsest matrix of a multigrid is inverted dense.
+COARSE = 400
+
 
 class Sparse:
     """Symmetric matrix in rows: products with dense blocks by one gather and one segmented sum."""
@@ -32,23 +35,104 @@ class Sparse:
 
     def __matmul__(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((self.n, *x.shape[1:]))
-        if len(self.i):
-            w = self.w if x.ndim == 1 else self.w[:, None]
-            out[self.i[self.rows]] = np.add.reduceat(w * x[self.j], self.rows, axis=0)
+        if len(self.i) and x.ndim == 1:
+            out[self.i[self.rows]] = np.add.reduceat(self.w * x[self.j], self.rows)
+        elif len(self.i):
+            for s in blocks(x.shape[1], len(self.i)):
+                out[self.i[self.rows], s] = np.add.reduceat(self.w[:, None] * x[self.j, s], self.rows, axis=0)
         return out
 
+    def diagonal(self) -> np.ndarray:
+        on = self.i == self.j
+        return np.bincount(self.i[on], self.w[on], self.n)
+
+    def merged(self, to: np.ndarray) -> Sparse:
+        """Sums over the groups of vertices 0, 1, ... of ``to``."""
+        m = int(to.max()) + 1
+        key, at = np.unique(to[self.i] * m + to[self.j], return_inverse=True)
+        return Sparse(key // m, key % m, np.bincount(at, self.w, len(key)), m)
+
     def dense(self) -> np.ndarray:
         out = np.zeros((self.n, self.n))
         np.add.at(out, (self.i, self.j), self.w)
         return out
 
 
+def _pairs(a: Sparse, diagonal: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Groups of mostly two vertices, by rounds in which those that are each other's strongest free neighbour join; the rest joins its strongest neighbour.
+
+    A coupling's strength is its share in the smaller of both diagonals; those
+    below ``least``, or far below what both vertices have elsewhere, join
+    nothing, so a group varies slowly only as a whole.
+    """
+    every, diagonal = np.arange(a.n), np.maximum(diagonal, 1e-300)
+    off = (a.i != a.j) & (a.w < 0)
+    i, j, tie = a.i[off], a.j[off], np.random.default_rng(0).random(a.n)
+    strength = -a.w[off] / np.minimum(diagonal[i], diagonal[j]) * (1 + 1e-3 * ((tie[i] + tie[j]) % 1))
+    order = np.argsort(strength, kind="stable")
+    order = order[strength[order] >= least]
+    i, j, strength = i[order], j[order], strength[order]
+    best, most = every.copy(), np.zeros(a.n)
+    best[i], most[i] = j, strength  # of repeated positions the last one, the strongest, stays
+    strong = strength >= 0.25 * np.minimum(most[i], most[j])
+    i, j, lead, free = i[strong], j[strong], every.copy(), np.ones(a.n, bool)
+    for _ in range(10):
+        pick = every.copy()
+        pick[i] = j
+        both = np.flatnonzero((pick != every) & (pick[pick] == every))
+        lead[both], free[both] = np.minimum(both, pick[both]), False
+        left = free[i] & free[j]
+        i, j = i[left], j[left]
+    alone = np.flatnonzero(free & ~free[best])
+    lead[alone] = lead[best[alone]]
+    return np.unique(lead, return_inverse=True)[1]
+
+
+class _Grid:
+    """Approximate inverse of a positive matrix: a multigrid cycle over groups of vertices, with damped Jacobi steps; symmetric, memory a multiple of the entries."""
+
+    def __init__(self, a: Sparse):
+        self.a, self.below, self.inverse = a, None, None
+        self.scale = np.maximum(np.bincount(a.i, np.abs(a.w), a.n), 1e-300)[:, None]
+        if a.n <= COARSE:
+            m = a.dense()
+            self.inverse = np.linalg.pinv((m + m.T) / 2, rcond=1e-15, hermitian=True)
+            return
+        diagonal = a.diagonal()
+        one = _pairs(a, diagonal)
+        middle = a.merged(one)
+        two = _pairs(middle, np.bincount(one, diagonal), 0.05)  # this level's own steps must smooth within a group
+        self.to, n = two[one], int(two.max()) + 1
+        if n < 0.9 * a.n:
+            self.order = np.argsort(self.to, kind="stable")
+            self.first = np.searchsorted(self.to[self.order], np.arange(n))
+            self.below = _Grid(middle.merged(two))
+
+    def __call__(self, r: np.ndarray) -> np.ndarray:
+        if self.inverse is not None:
+            return self.inverse @ r
+        x = r / self.scale
+        x += (r - self.a @ x) / self.scale
+        if self.below is not None:
+            c = np.add.reduceat((r - self.a @ x)[self.order], self.first, axis=0)
+            y = self.below(c)
+            if self.below.inverse is None and self.below.a.n < self.a.n / 2:
+                y = y + self.below(c - self.below.a @ y)
+            x += y[self.to]
+        for _ in range(2):
+            x += (r - self.a @ x) / self.scale
+        return x
+
+
 def smallest_pairs(a: Sparse, mass: np.ndarray, k: int, tol: float = 1e-8, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """k smallest pairs of A x = lambda M x, eigenvectors of unit mass norm; signs: the largest entry is positive.
 
-    Dense up to ``DENSE`` vertices.  Beyond it subspace iteration with
-    Chebyshev filters, whose memory is the nonzero entries and a block of
-    about 1.5 k vectors; it raises if 200 rounds don't reach ``tol``.
+    Dense up to ``DENSE`` vertices.  Beyond it a block of about 1.5 k vectors
+    is improved along its residuals, divided by the matrix by multigrid, and
+    the last steps (LOBPCG), until no residual is over ``tol`` and the values
+    no longer fall; copies and far points, whose values crowd near 0, don't
+    slow it.  Memory is the nonzero entries and some such blocks; it raises if
+    200 rounds don't reach ``tol``.
     """
     root = np.sqrt(np.maximum(mass, 1e-20))
     b = Sparse(a.i, a.j, a.w / (root[a.i] * root[a.j]), a.n)
@@ -56,30 +140,34 @@ def smallest_pairs(a: Sparse, mass: np.ndarray, k: int, tol: float = 1e-8, seed:
     if a.n <= DENSE:
         m = b.dense()
         lam, x = np.linalg.eigh((m + m.T) / 2)
-        lam, x = lam[:k], x[:, :k]
     else:
-        size = min(a.n, k + max(10, k // 2))
+        size, every = min(a.n, k + max(10, k // 2)), np.arange(a.n)
         top = float(np.bincount(b.i, np.abs(b.w), b.n).max())
+        near = _Grid(Sparse(np.append(a.i, every), np.append(a.j, every), np.append(a.w, 1e-10 * top * np.square(root)), a.n))
         x = np.linalg.qr(np.random.default_rng(seed).standard_normal((a.n, size)))[0]
-        cut, low, degree = top / 10, 0.0, 24
+        bx = b @ x
+        lam, u = np.linalg.eigh(x.T @ bx)
+        x, bx, step, last = x @ u, bx @ u, np.empty((a.n, 0)), np.inf
         for _ in range(200):
-            mid, half = (top + cut) / 2, (top - cut) / 2
-            scale = half / (low - mid)
-            before, now, first = x, ((b @ x) - mid * x) * (scale / half), scale
-            for _ in range(2, degree + 1):  # scaled three-term recurrence
-                next_scale = 1 / (2 / first - scale)
-                before, now, scale = now, 2 * next_scale / half * ((b @ now) - mid * now) - scale * next_scale * before, next_scale
-            x = np.linalg.qr(now)[0]
-            bx = b @ x
-            lam, u = np.linalg.eigh(x.T @ bx)
-            x, bx = x @ u, bx @ u
-            wrong = np.linalg.norm(bx[:, :k] - x[:, :k] * lam[:k], axis=0).max()
-            if wrong < tol * max(1.0, float(lam[k - 1])):
+            rest = bx - x * lam
+            wrong = np.linalg.norm(rest[:, :k], axis=0).max()
+            if wrong < tol * max(1.0, float(lam[k - 1])) and (last - lam[:k] <= 1e-4 * np.abs(lam[:k]) + 1e-14 * top).all():
                 break
-            cut, low = min(float(lam[-1]), top * 0.9), float(min(lam[0], 0.0))
-        else:
+            last = lam[:k]
+            s = np.hstack([root[:, None] * near(root[:, None] * rest), step])
+            for _ in range(2):  # orthonormal, and to x too, without directions that are there already
+                s -= x @ (x.T @ s)
+                s /= np.maximum(np.linalg.norm(s, axis=0), 1e-300)
+                d, v = np.linalg.eigh(s.T @ s)
+                s = s @ (v[:, d > 1e-12] / np.sqrt(d[d > 1e-12]))
+            q, bq = np.hstack([x, s]), np.hstack([bx, b @ s])
+            h = q.T @ bq
+            lam, u = np.linalg.eigh((h + h.T) / 2)
+            lam, u = lam[:size], u[:, :size]
+            x, bx, step = q @ u, bq @ u, s @ u[size:]
+        if not wrong < tol * max(1.0, float(lam[k - 1])):
             raise ArithmeticError(f"eigenpairs of {a.n} vertices aren't within {tol} after 200 rounds: {wrong}")
-        lam, x = lam[:k], x[:, :k]
+    lam, x = lam[:k], x[:, :k]
     phi = x / root[:, None]
     phi = phi * np.where(phi[np.abs(phi).argmax(axis=0), np.arange(phi.shape[1])] < 0, -1, 1)
     return np.maximum(lam, 0.0), phi

@@ -169,3 +169,32 @@ def test_eigenpairs_out_of_tolerance_raise():
     a = eigen.Sparse(np.concatenate([i, i, i]), np.concatenate([i, (i + 1) % n, (i - 1) % n]), np.concatenate([np.full(n, 2.0), np.full(2 * n, -1.0)]), n)
     with pytest.raises(ArithmeticError):
         eigen.smallest_pairs(a, np.ones(n), 2, tol=0.0)
+
+
+def _cloud_laplacian(spark, p, k=10):
+    rows = spark.createDataFrame([("c", i, *map(float, x)) for i, x in enumerate(p)], "shape_id string, vid long, x double, y double, z double")
+    return cloud.knn_laplacian(rows, k)
+
+
+@pytest.mark.parametrize("kind", ["copies", "dense group"])
+def test_eigenpairs_of_clouds_whose_values_crowd_near_zero(spark, monkeypatch, kind):
+    draw = np.random.default_rng(5)
+    p = np.repeat(draw.normal(size=(900, 3)), 2, axis=0) if kind == "copies" else np.concatenate([draw.normal(size=(900, 3)), draw.normal(0, 0.05, (950, 3))])
+    e = _cloud_laplacian(spark, p).toPandas()
+    a = eigen.Sparse(e["i"].to_numpy(), e["j"].to_numpy(), e["w"].to_numpy(), len(p))
+    mass = e[e["i"] == e["j"]].sort_values("i")["mass"].to_numpy()
+    have, phi = eigen.smallest_pairs(a, mass, 10)
+    assert np.allclose(phi.T @ (phi * mass[:, None]), np.eye(10), atol=1e-8)
+    assert np.abs((a @ phi - mass[:, None] * phi * have) / np.sqrt(mass)[:, None]).max() < 1e-8
+    monkeypatch.setattr(eigen, "DENSE", len(p))
+    assert np.allclose(have, eigen.smallest_pairs(a, mass, 10)[0], rtol=1e-3, atol=1e-12)
+
+
+def test_points_with_more_copies_than_neighbours_keep_their_degree(spark):
+    p = np.repeat(np.random.default_rng(6).normal(size=(20, 3)), 15, axis=0)
+    lap = _cloud_laplacian(spark, p).cache()
+    assert lap.where("i = j and mass > 0").count() == len(p)
+    assert lap.groupBy("i").agg(F.sum("w").alias("s")).where("abs(s) > 1e-9").count() == 0
+    rows = eigen.decompose_cloud(lap, 5).collect()
+    assert sorted(r.vid for r in rows) == list(range(len(p)))
+    assert all(abs(x) < 1e-9 for x in rows[0].lam)
