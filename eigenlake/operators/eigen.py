@@ -189,7 +189,13 @@ def decompose(entries: DataFrame, mass: DataFrame, k: int = 100) -> DataFrame:
 
 def decompose_cloud(laplacian: DataFrame, k: int = 50) -> DataFrame:
     """The same for a cloud's Laplacian with masses on its diagonal."""
-    return decompose(laplacian, laplacian.where("i = j").select("shape_id", F.col("i").alias("vid"), F.col("mass").alias("area")), k)
+
+    def kernel(e):
+        own = e[e["i"] == e["j"]]
+        lam, phi = smallest_pairs(_matrix(e, own["i"].to_numpy()), own["mass"].to_numpy(float), k)
+        return {"vid": own["i"].to_numpy(), "lam": [lam.tolist()] * len(own), "phi": list(phi)}
+
+    return per_shape(laplacian, kernel, "vid long, lam array<double>, phi array<double>", order="i")
 
 
 def spectral_qc(eig: DataFrame, mass: DataFrame, tolerance: float = 1e-3, zero: float = 1e-4, same: float = 1e-6) -> DataFrame:
